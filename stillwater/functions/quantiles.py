@@ -126,10 +126,10 @@ def grouped_quantiles(
         raise ValueError("quantiles must be between 0 and 1")
     aggs = list(aggs)
     if not keys:
-        over = df.limit(heavy_rows_limit(df.sparkSession) + 1).count() > heavy_rows_limit(df.sparkSession)
-        if heavy is None and over or heavy:
-            return _narrowed(df, [], value, probs, names, aggs)
-        return _plain(df, [], value, probs, names, aggs)
+        if heavy is None:
+            limit = heavy_rows_limit(df.sparkSession)
+            heavy = [None] if df.select(value).limit(limit + 1).count() > limit else []
+        return (_narrowed if heavy else _plain)(df, [], value, probs, names, aggs)
     if heavy is None:
         heavy = heavy_keys(df, keys[0])
     if not heavy:
