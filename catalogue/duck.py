@@ -259,20 +259,32 @@ CTE["bs"] = "select lake_id, index_col, time, wse from ok where passes and xovr_
 CTE["grid"] = grid("bs")
 
 
-def _weights(window=21, order=3):
-    h = window // 2
-    x = np.arange(-h, h + 1) / h
-    b = np.vander(x, order + 1, increasing=True)
-    hat = b @ np.linalg.pinv(b)
-    rows = ", ".join(f"({i}, {j}, {float(hat[i, j]):.17e})" for i in range(window) for j in range(window))
-    return f"select * from (values {rows}) t(i, j, w)"
+def _weights(longest=21, order=3):
+    """Smoothing matrices of every odd window the short-grid rule can pick."""
+    rows = []
+    for wl in range(5, longest + 1, 2):
+        b = np.vander(np.arange(-(wl // 2), wl // 2 + 1) / (wl // 2), order + 1, increasing=True)
+        hat = b @ np.linalg.pinv(b)
+        rows += [f"({wl}, {i}, {j}, {float(hat[i, j]):.17e})" for i in range(wl) for j in range(wl)]
+    return f"select * from (values {', '.join(rows)}) t(wl, i, j, w)"
 
 
 CTE["sgw"] = _weights()
-# row i of the weights applies to the window starting at s
-CTE["sg"] = """select a.lake_id, a.k, a.k_last, a.g, a.y, sum(w.w * n.y) as curve from
- (select *, case when k < 10 then 0 when k > k_last - 10 then k_last - 20 else k - 10 end as s from grid) a
- join sgw w on w.i = a.k - a.s join grid n on n.lake_id = a.lake_id and n.k = a.s + w.j group by all"""
+# row i of the weights applies to the window starting at s; interior rows use
+# the centre row through lag / lead
+def _centre(window=21, order=3):
+    h = window // 2
+    b = np.vander(np.arange(-h, h + 1) / h, order + 1, increasing=True)
+    c = (b @ np.linalg.pinv(b))[h]
+    return " + ".join(f"{float(c[h + j]):.17e} * lead(y, {j}) over w" if j > 0 else f"{float(c[h + j]):.17e} * lag(y, {-j}) over w"
+                      for j in range(-h, h + 1))
+
+
+CTE["sg"] = f"""select lake_id, k, k_last, g, y, case when k_last < 21 or k < 10 or k > k_last - 10 then e.curve else mid end as curve from (
+ select *, {_centre()} as mid from grid window w as (partition by lake_id order by k)) left join (
+ select a.lake_id, a.k, sum(w.w * n.y) as curve from (select *, case when k < wl // 2 then 0 when k > k_last - wl // 2 then k_last + 1 - wl else k - wl // 2 end as s
+  from (select *, case when k_last >= 21 then 21 else k_last - k_last % 2 + 1 end as wl from grid) where (k_last < 21 or k < 10 or k > k_last - 10) and wl <= k_last + 1) a
+ join sgw w on w.wl = a.wl and w.i = a.k - a.s join grid n on n.lake_id = a.lake_id and n.k = a.s + w.j group by 1, 2) e using (lake_id, k)"""
 CTE["med"] = """select a.lake_id, a.k, a.k_last, a.g, a.y, quantile_cont(coalesce(n.y, 0), 0.5) as curve from
  (select grid.*, unnest(range(-10, 11)) as j from grid) a left join grid n on n.lake_id = a.lake_id and n.k = a.k + a.j group by all"""
 
@@ -290,7 +302,7 @@ def sql(*names: str, body: str) -> str:
 
     for n in names:
         add(n)
-    head = "with " + ",\n".join(f"{n} as ({CTE[n]})" for n in need)
+    head = "with " + ",\n".join(f"{n} as materialized ({CTE[n]})" for n in need)
     return f"{head},\n{body[5:]}" if body.startswith("with ") else f"{head}\n{body}"
 
 

@@ -65,9 +65,14 @@ class Tables:
     def p(self):
         return self._once("p", lambda: prep.prepare(self.raw, tables.ARRIVAL))
 
+    @property
+    def stored(self):
+        """The prepared table, written once for queries that read it repeatedly."""
+        return self._once("stored", lambda: cut(self.p))
+
     @property
     def u(self):
-        return self._once("u", lambda: prep.distinct_times(self.p))
+        return self._once("u", lambda: prep.distinct_times(self.stored))
 
     @property
     def heavy(self):
@@ -117,7 +122,7 @@ class Tables:
             t = screens.tukey_fallback(self.u, heavy=self.heavy)
             kept = t.select(KEY, "index_col", F.col("wse").alias("wse_adjusted"), F.lit(1).alias("filter_flag"), "n_steps")
             done = t.select(KEY).distinct().withColumn("__ok", F.lit(True))
-            out = self.p.join(kept, [KEY, "index_col"], "left").join(done, KEY, "left")
+            out = self.stored.join(kept, [KEY, "index_col"], "left").join(done, KEY, "left")
             return (
                 out.withColumn("filter_flag", F.coalesce("filter_flag", F.lit(0)))
                 .withColumn("filter_attempt", F.when(F.col("__ok"), "3_tukey").otherwise("4_none"))
@@ -605,7 +610,7 @@ def savgol_sweep(t):
 # --------------------------------------------------------------- workflow
 @register()
 def filter_hierarchy(t):
-    o = filtering.run_filter(t.p, heavy=t.heavy)["observations"]
+    o = filtering.run_filter(t.stored, heavy=t.heavy)["observations"]
     return o.select(KEY, "index_col", "filter_flag", r("wse_adjusted").alias("wse_adjusted"), "filter_attempt",
                     "n_while", "n_while_r2", "intra_cycle_flag")
 
@@ -619,7 +624,7 @@ def filter_strict(t):
 @register(sql("ok", body="select lake_id, index_col, case when passes then 1 else 0 end as filter_flag, '1_strict' as filter_attempt from ok"))
 def filter_threshold_only(t):
     cfg = FilterConfig(apply_low_pass=False, adjust_cycles=False)
-    o = filtering.run_filter(t.p, cfg, heavy=t.heavy)["observations"]
+    o = filtering.run_filter(t.stored, cfg, heavy=t.heavy)["observations"]
     return o.filter("is_first").select(KEY, "index_col", "filter_flag", "filter_attempt")
 
 
@@ -717,7 +722,7 @@ def lake_stats(t):
  union all select lake_id, 'series' from registry where lake_id not in (select lake_id from u)
  union all select lake_id, 'thresholds' from registry where lake_id not in (select lake_id from thr)"""))
 def coverage_sets(t):
-    return X.coverage_sets(t.registry, t.raw, t.p, t.thr)
+    return X.coverage_sets(t.registry, t.raw, t.stored, t.thr)
 
 
 @register(sql("matched", "registry", body="""select r.lake_id, n is null as no_data, coalesce(n = 0, false) as no_gauge_joined,
@@ -899,7 +904,7 @@ def error_by_ice_summary(t):
  (p_lon + 180e0) - 360e0 * floor((p_lon + 180e0) / 360e0) - 180e0 as p_lon from p where p_ref_area > 0) q using (lake_id) where mae_filtered is not null)
  select lake_id, {r6('v')} as mae_filtered, {r6('p_lat')} as p_lat, {r6('p_lon')} as p_lon, {r6('(select quantile_cont(abs(v), 0.95) from d)')} as colour_limit from d"""))
 def geo_table(t):
-    g = X.geo_table(t.stats, X.lake_dimension(t.p), "mae_filtered", t.many_lakes)
+    g = X.geo_table(t.stats, X.lake_dimension(t.stored), "mae_filtered", t.many_lakes)
     return rounded(g, [KEY], ["mae_filtered", "p_lat", "p_lon", "colour_limit"])
 
 

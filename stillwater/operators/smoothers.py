@@ -45,7 +45,7 @@ def savgol(grid: DataFrame, window: int = 21, polyorder: int = 3, value="y", out
         raise ValueError("window must be odd")
     series = W.partitionBy(KEY)
     reach = (window - 1) // 2
-    frame = series.orderBy("k").rowsBetween(-reach, reach)
+    ordered = series.orderBy("k")
     k, y = F.col("k").cast("double"), F.col("__y")
     g = grid.withColumn("__n", (F.col("k_last") + 1).cast("double"))
     g = g.withColumns(
@@ -70,7 +70,7 @@ def savgol(grid: DataFrame, window: int = 21, polyorder: int = 3, value="y", out
         {"__q0": 2 * h + 1, "__q1": s2, "__q2": s2 * c3 - c2 * s2, "__q3": F.col("__s6") - c3 * c3 * s2}
     )
     n = F.col("__n")
-    sums = {f"__m{p}": F.sum(F.pow(k, F.lit(float(p))) * y).over(frame) for p in range(3)}
+    sums = {}
 
     def basis(j):
         return [F.lit(1.0), j, j * j - c2, j * j * j - c3 * j][: polyorder + 1]
@@ -85,14 +85,17 @@ def savgol(grid: DataFrame, window: int = 21, polyorder: int = 3, value="y", out
     r = float(reach)
     den = (2 * r - 1) * (2 * r + 1) * (2 * r + 3)
     a, b = 3 * (3 * r * r + 3 * r - 1) / den, 15 / den
-    inner = (F.lit(a) - F.lit(b) * k * k) * F.col("__m0") + F.lit(2 * b) * k * F.col("__m1") - F.lit(b) * F.col("__m2")
+    inner = F.lit(a) * y
+    for j in range(1, reach + 1):
+        inner = inner + F.lit(a - b * j * j) * (F.lag("__y", j).over(ordered) + F.lead("__y", j).over(ordered))
+    g = g.withColumn("__mid", inner)
     poly = lambda prefix, j: sum((p * F.col(f"{prefix}{m}") for m, p in enumerate(basis(j))), F.lit(0.0))
     # short grids have at most two interior points, both centres of an end window
     res = (
         F.when(h.isNull(), None)
         .when((k < h) | ((h < reach) & (k == h)), poly("__f", at_head))
         .when((k > n - 1 - h) | (h < reach), poly("__l", at_tail))
-        .otherwise(inner)
+        .otherwise(F.col("__mid"))
     )
     return g.withColumn(out, res + F.col("__ref")).select(*grid.columns, out)
 
