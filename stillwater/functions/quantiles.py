@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import heavy_rows_limit
 
 SKETCH_ACCURACY = 100_000
+ALL = ["*"]  # every row of the input belongs to a heavy group
 
 
 def heavy_keys(df: DataFrame, key: str, limit: int | None = None) -> list:
@@ -120,7 +121,7 @@ def grouped_quantiles(
     """Exact quantiles of ``value`` per ``keys`` (NULL values are skipped).
 
     ``heavy`` lists the values of ``keys[0]`` whose rows exceed the limit; when
-    None it is looked up. Extra aggregates may be computed alongside.
+    None it is looked up; ``ALL`` says every row does. Extra aggregates may be computed alongside.
     """
     if any(not 0 <= q <= 1 for q in probs):
         raise ValueError("quantiles must be between 0 and 1")
@@ -134,6 +135,8 @@ def grouped_quantiles(
         heavy = heavy_keys(df, keys[0])
     if not heavy:
         return _plain(df, keys, value, probs, names, aggs)
+    if heavy == ALL:
+        return _narrowed(df, keys, value, probs, names, aggs)
     hot = is_heavy(F.col(keys[0]), heavy)
     return _plain(df.filter(~hot), keys, value, probs, names, aggs).unionByName(
         _narrowed(df.filter(hot), keys, value, probs, names, aggs)

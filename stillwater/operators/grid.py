@@ -99,16 +99,15 @@ def with_neighbours(df: DataFrame, time: str, cols: list[str], reach: int, step:
     outer = W.partitionBy(KEY).orderBy(time)
     names = []
     edge = rows.filter((F.col("__up") <= reach) | (F.col("__down") <= reach))
-    pick = [KEY, "__s", F.col(time).alias("__t")]
+    pick = [F.col(KEY).alias("__k"), F.col("__s").alias("__es"), F.col(time).alias("__t")]
     for i in range(1, reach + 1):
         for name, fn in ((f"prev{i}", F.lag), (f"next{i}", F.lead)):
             rows = rows.withColumn(name, fn(item, i).over(inner))
             pick.append(fn(item, i).over(outer).alias(f"__e_{name}"))
             names.append(name)
     edge = edge.select(*pick)
-    j = rows.join(edge, [rows[KEY] == edge[KEY], rows["__s"] == edge["__s"], rows[time] == edge["__t"]], "left").drop(
-        edge[KEY], edge["__s"], edge["__t"]
-    )
+    same = (F.col(KEY) == F.col("__k")) & (F.col("__s") == F.col("__es")) & (F.col(time) == F.col("__t"))
+    j = rows.join(edge, same, "left").drop("__k", "__es", "__t")
     for n in names:
         j = j.withColumn(n, F.coalesce(n, f"__e_{n}"))
     return j.drop("__s", "__up", "__down", *[f"__e_{n}" for n in names])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Attempt, DAY
 from ..functions.columns import lit_false, tukey_baseline
-from ..functions.quantiles import grouped_quantiles, heavy_keys, is_heavy, null_safe_join
+from ..functions.quantiles import ALL, grouped_quantiles, heavy_keys, is_heavy, null_safe_join
 from ..session import cut
 from . import asof
 
@@ -83,7 +83,7 @@ def _interval_small(df, key, value, multiplier, lower_q, upper_q, max_distance,
     return t.select(key, "lo", "hi", "n_steps", F.size("a").cast("long").alias("n_kept"))
 
 
-def _interval_large(df, key, value, multiplier, lower_q, upper_q, max_distance, iterations, heavy):
+def _interval_large(df, key, value, multiplier, lower_q, upper_q, max_distance, iterations):
     """Same fixpoint for series above the limit, by distributed quantiles; only
     one row per heavy series is carried between iterations."""
     dist = float(max_distance)
@@ -95,12 +95,12 @@ def _interval_large(df, key, value, multiplier, lower_q, upper_q, max_distance,
     for _ in range(iterations):
         live = rows.join(state, key).filter((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
         carried = [F.first(c).alias(c) for c in ("lo", "hi", "n_steps", "done")] + [F.count("*").alias("n0")]
-        b = cut(tukey_bounds(live, [key], value, multiplier, lower_q, upper_q, heavy, carried))
+        b = cut(tukey_bounds(live, [key], value, multiplier, lower_q, upper_q, ALL, carried))
         inner = rows.join(b, key).filter(
             (F.col(value) >= F.greatest("lo", "lower_bound")) & (F.col(value) <= F.least("hi", "upper_bound"))
         )
         carried = [F.first(c).alias(c) for c in ("lo", "hi", "n_steps", "done", "n0", "lower_bound", "upper_bound")]
-        med = cut(grouped_quantiles(inner, [key], value, [0.5], ["med"], carried, heavy))
+        med = cut(grouped_quantiles(inner, [key], value, [0.5], ["med"], carried, ALL))
         run = ~F.col("done")
         lo = F.when(run, F.greatest("lo", "lower_bound", F.col("med") - dist)).otherwise(F.col("lo"))
         hi = F.when(run, F.least("hi", "upper_bound", F.col("med") + dist)).otherwise(F.col("hi"))
@@ -132,7 +132,7 @@ def screen_interval(
         return _interval_small(df, *args)
     hot = is_heavy(F.col(key), heavy)
     return _interval_small(df.filter(~hot), *args).unionByName(
-        _interval_large(df.filter(hot), *args, heavy)
+        _interval_large(df.filter(hot), *args)
     )
 
 
