@@ -142,7 +142,7 @@ def test_one_superstep_equals_the_helper(spark):
 
 def test_superstep_loop_equals_grouped_fixpoint(spark):
     rows = filter_rows(spark).filter("lake_id = 1").cache()
-    cfg = FilterConfig(round1_cap=2, round2_cap=1)
+    cfg = FilterConfig(round1_cap=1, round2_cap=1)
     a = filtering.low_pass(rows, cfg, []).toPandas()
     b = filtering.low_pass(rows, cfg, [1]).toPandas()
     key = ["lake_id", "index_col"]
