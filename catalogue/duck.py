@@ -286,7 +286,8 @@ CTE["sg"] = f"""select lake_id, k, k_last, g, y, case when k_last < 21 or k < 10
   from (select *, case when k_last >= 21 then 21 else k_last - k_last % 2 + 1 end as wl from grid) where (k_last < 21 or k < 10 or k > k_last - 10) and wl <= k_last + 1) a
  join sgw w on w.wl = a.wl and w.i = a.k - a.s join grid n on n.lake_id = a.lake_id and n.k = a.s + w.j group by 1, 2) e using (lake_id, k)"""
 CTE["med"] = """select a.lake_id, a.k, a.k_last, a.g, a.y, quantile_cont(coalesce(n.y, 0), 0.5) as curve from
- (select grid.*, unnest(range(-10, 11)) as j from grid) a left join grid n on n.lake_id = a.lake_id and n.k = a.k + a.j group by all"""
+ (select grid.*, unnest(range(-10, 11)) as j from grid) a left join grid n on n.lake_id = a.lake_id and n.k = a.k + a.j
+ where abs(a.j) <= case when a.k_last < 21 then (a.k_last + 1) // 2 else 10 end group by all"""
 
 
 def sql(*names: str, body: str) -> str:

@@ -33,7 +33,7 @@ OBS_COLUMNS = {
     "time": "cast(d95 - 1826 as double) * 8.64e4 + cast(case when l_partkey % 11 = 0 then 0"
     " else (l_orderkey * 7919 + l_linenumber * 104729) % 86400 end as double)",
     "wse": f"case when {HIDDEN} then -999999999999e0 else 1e2 + abs((d95 % 365) - 182) / 1.82e1"
-    " + (l_extendedprice - 52500) / 1e5"
+    " + (l_extendedprice - 52500) / 9.7e4"
     " + case when l_quantity >= 49 then 2.5e1 when l_quantity <= 1 then -2.5e1 else 0e0 end"
     " + case when scenario = 'offset' then (l_linenumber - 4) * 4e0 else 0e0 end end",
     "wse_u": "case when l_partkey % 41 = 0 then -999999999999e0 else round(l_tax * 2, 6) end",
