@@ -23,7 +23,10 @@ class GaugeSource:
 
 
 # Source names, columns and tolerances, in order of preference.
-_LATIN = {"encoding": "ISO-8859-2"}
+# The Latin-2 files are read as Latin-1, which Spark's reader accepts: both are
+# one byte per character and agree on ASCII, which the key, time and value
+# columns are written in.
+_LATIN = {"encoding": "ISO-8859-1"}
 SOURCES = [
     GaugeSource("India", 1, key="Reservoir_name", time=("Date",), value="Level", tolerance=DAYS_16),
     GaugeSource("China", 2, time=("Year", "Month", "Day", "Hour", "Minute", "Second"), value="WSE/m"),
