@@ -76,9 +76,10 @@ def _narrowed(df, keys, value, probs, names, aggs):
             F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("__n") - 1)).alias("pos"), lo.alias("lo"), hi.alias("hi"))
         )
     want = base.select(*keys, F.explode(F.array(*targets)).alias("t")).select(*keys, "t.*")
+    # without keys `want` has one row per wanted quantile
     # copies of a value collapse to one counted row before anything is ranked
     counted = df.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    joined = null_safe_join(counted, want, keys, "inner") if keys else counted.crossJoin(want)
+    joined = null_safe_join(counted, want, keys, "inner") if keys else counted.crossJoin(F.broadcast(want))
     below = joined.groupBy(*keys, "i", "pos").agg(
         F.sum(F.when(v < F.col("lo"), F.col("__c")).otherwise(0)).alias("__below")
     )
