@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stillwater.llm import mixing, sharding
+from stillwater.llm import decontamination, mixing, secrets, sharding
 from stillwater.llm.common import table
 
 QUERIES: dict = {}
@@ -29,7 +29,24 @@ def op2_sharding(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query(secrets.SQL)
+def op3_secrets(spark, sf_dir):
+    """Spans of every document: pattern matches, and random strings by the two Markov models."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.concat(base, "markov")).alias("spans"))
+
+
 @query(mixing.SQL)
 def op8_mixing(spark, sf_dir):
     """How many words the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(decontamination.SQL)
+def op9_decontamination(spark, sf_dir):
+    """Documents that hold a passage of a benchmark item, with the item."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
