@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stillwater.llm import decontamination, mixing, secrets, sharding
+from stillwater.llm import decontamination, mixing, quality, secrets, sharding, simhash
 from stillwater.llm.common import table
 
 QUERIES: dict = {}
@@ -40,6 +40,18 @@ def op3_secrets(spark, sf_dir):
         secrets.listed(F.concat(base, "markov")).alias("spans"))
 
 
+#: Labels are learned from documents with another remainder; these are held out.
+HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
+
+
+@query()
+def op4_quality(spark, sf_dir):
+    """Score, expected grade, probability of the best grade and selection of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(f"not ({HELD_OUT})"))
+    return quality.score(docs, model).withColumn("kept", quality.kept())
+
+
 @query(mixing.SQL)
 def op8_mixing(spark, sf_dir):
     """How many words the mix takes of every document."""
@@ -50,3 +62,10 @@ def op8_mixing(spark, sf_dir):
 def op9_decontamination(spark, sf_dir):
     """Documents that hold a passage of a benchmark item, with the item."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_simhash(spark, sf_dir):
+    """Fingerprint and group of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
