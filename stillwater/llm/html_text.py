@@ -1,0 +1,155 @@
+"""Main text of web pages by the line-block distribution.
+
+Markup is stripped into lines, one per block element. Every line has a weight: the
+length of its text, without link text where the page does not mark its article, and zero
+inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments,
+which elements, roles and class names tell. Weights are summed over windows of ``WINDOW``
+lines; text starts where the sum surges to the threshold and ends at the dive, where a
+whole window is empty. A page with an ``article`` or ``main`` element has its weights there
+alone and any text is a surge, so that no short paragraph is lost; elsewhere the threshold
+is ``SURGE`` characters and headings right above a surge belong to it.
+
+Defined cases: null, empty and text-free pages give an empty text; unclosed elements end
+with their parent, unclosed scripts and comments with the page; page_id and url may be
+null or repeated; an empty table gives no rows; other columns are not touched.
+"""
+
+from __future__ import annotations
+
+import html
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+WINDOW = 3
+SURGE = 80
+
+# Element names of HTML by their role in a page.
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small "
+             "span strike strong sub sup time tt u var wbr img br".split())
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+BOILERPLATE = set("nav footer aside form button select textarea menu dialog head iframe object video audio canvas".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+NOISE = re.compile(
+    r"(?<![a-z])(ads?|adverts?|advertisements?|sponsor(ed)?|promos?|banners?|cookies?|consent|gdpr|notices?|alerts?|"
+    r"menus?|nav|navbar|navigation|breadcrumbs?|sidebars?|widgets?|footers?|headers?|masthead|comments?|comment-?list|"
+    r"replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|popups?|modals?|overlay|"
+    r"pagination|pager|toolbar|topbar|bottombar|skip-?link)(?![a-z])")
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(script|style|noscript|template|svg|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-z][a-z0-9:-]*)([^<>]*)>|<[!?][^>]*>", re.S | re.I)
+ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+SPACE = re.compile(r"\s+")
+
+
+def is_noise(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element holds no main text."""
+    if name in BOILERPLATE or name == "header" and not in_article:
+        return True
+    if "=" not in attributes and "hidden" not in attributes:
+        return False
+    found = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)}
+    hidden = found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(
+        r"(?<![\w=\"'-])hidden(?![\w-])", attributes.lower())
+    if name in ("body", "html", "main"):
+        return False
+    named = f"{found.get('class', '')} {found.get('id', '')}".replace("_", "-")
+    return bool(hidden) or found.get("role", "") in ROLES or bool(NOISE.search(named))
+
+
+def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, weight without links, inside an article, heading) of every line; noise is empty."""
+    out, pieces, links = [], [], 0
+    stack: list[tuple[str, bool, bool]] = []  # name, noise, inside an article
+    heading = False
+
+    def close():
+        nonlocal pieces, links, heading
+        text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
+        noise, article = stack[-1][1:] if stack else (False, False)
+        if text:
+            out.append(("", 0, article, False) if noise else (text, max(len(text) - links, 0), article, heading))
+        pieces, links, heading = [], 0, False
+
+    def take(text: str):
+        nonlocal links, heading
+        if text:
+            pieces.append(text)
+            if any(e[0] == "a" for e in stack[-8:]):
+                links += len(SPACE.sub(" ", html.unescape(text)).strip())
+            heading = heading or any(e[0] in HEADINGS for e in stack[-8:])
+
+    at = 0
+    for m in TAG.finditer(page):
+        take(page[at:m.start()])
+        at = m.end()
+        name = (m[3] or m[6] or "").lower()
+        if not name:
+            continue
+        if name == "br":
+            pieces.append(" ")
+            continue
+        if name not in INLINE:
+            close()
+        if m[2] or m[5]:
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if depth is not None:
+                if any(e[0] not in INLINE for e in stack[depth:]):
+                    close()
+                del stack[depth:]
+        elif name not in VOID:
+            if name not in INLINE and stack:  # a block ends an open paragraph and what is open in it
+                p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
+                if p is not None and stack[p][0] == "p":
+                    del stack[p:]
+            _, noise, article = stack[-1] if stack else ("", False, False)
+            main = name in ("article", "main")
+            if main and noise and next(e[0] for e in stack if e[1]) in ("nav", "header"):
+                noise = False  # a menu that was never closed
+            noise = noise or is_noise(name, m[4] or m[7] or "", article)
+            stack.append((name, noise, article or main and not noise))
+    take(page[at:])
+    close()
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The main text, blocks joined by two line feeds."""
+    found = lines(page or "")
+    marked = any(text and article for text, _, article, _ in found)
+    if marked:
+        weight, surge = [len(text) if article else 0 for text, _, article, _ in found], 1
+    else:
+        weight, surge = [w for _, w, _, _ in found], SURGE
+    weight += [0] * WINDOW
+    run = sum(weight[:WINDOW])
+    sums = [run := run + (weight[i + WINDOW - 1] - weight[i - 1] if i else 0) for i in range(len(found))]
+    kept, i = [], 0
+    while i < len(found):
+        if sums[i] < surge or not weight[i] and not found[i][0]:
+            i += 1
+            continue
+        first = i
+        while not marked and first and found[first - 1][3] and found[first - 1][0] and (first - 1) not in kept[-1:]:
+            first -= 1
+        while i < len(found) and sums[i]:
+            i += 1
+        kept += range(first, i)
+    return "\n\n".join(found[k][0] for k in kept if found[k][0] and (found[k][2] or not marked))
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every row."""
+    def made(batches):
+        for b in batches:
+            texts = [main_text(p) for p in b["html"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInArrow(made, f"page_id {kind}, url string, text string, n_chars long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stillwater.llm import decontamination, mixing, quality, secrets, sharding, simhash
+from stillwater.llm import decontamination, html_text, mixing, quality, secrets, sharding, simhash, toxicity
 from stillwater.llm.common import table
 
 QUERIES: dict = {}
@@ -52,6 +52,22 @@ def op4_quality(spark, sf_dir):
     return quality.score(docs, model).withColumn("kept", quality.kept())
 
 
+@query()
+def op6_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from those that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(f"not ({HELD_OUT})"))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= toxicity.ALARM).cast("int").alias("predicted"))
+
+
+@query()
+def op7_html_text(spark, sf_dir):
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query(mixing.SQL)
 def op8_mixing(spark, sf_dir):
     """How many words the mix takes of every document."""
