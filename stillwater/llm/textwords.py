@@ -8,18 +8,18 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-PRIME = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+PRIME = 0x9E3779B97F4A7C15
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    """PRIME ** i modulo 2^64 for i < n; kept between calls."""
-    global _powers
-    if len(_powers) < n:
-        p = np.full(max(n, 2 * len(_powers)), PRIME, np.uint64)
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo 2^64 for i < n; kept between calls."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        p = np.full(max(n, 2 * len(have) if have is not None else 1), base, np.uint64)
         p[0] = 1
-        _powers = np.multiply.accumulate(p)
-    return _powers[:n]
+        _powers[base] = have = np.multiply.accumulate(p)
+    return have[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -29,6 +29,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class Stretches:
+    """Hashes of any stretch of a buffer, the same wherever and in whatever buffer it lies."""
+
+    def __init__(self, data: np.ndarray):
+        p = powers(PRIME, len(data) + 1)
+        self.run = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:-1], dtype=np.uint64)])
+        self.back = powers(pow(PRIME, -1, 2**64), len(data) + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.run[end] - self.run[start]) * self.back[start])
+
+
 class Words:
     """White-space separated words of a batch of texts (None: empty), with ASCII letters in lower case.
 
@@ -50,11 +62,7 @@ class Words:
 
     def hashes(self, symbols: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash per word of its lower-case bytes, or of other symbols in their places."""
-        s = (self.low if symbols is None else symbols).astype(np.uint64) + np.uint64(1)
-        p = powers(len(s) + 1)
-        run = np.concatenate([[np.uint64(0)], np.cumsum(s * p[:-1], dtype=np.uint64)])
-        # Dividing by PRIME ** start is multiplying by PRIME ** (last - start).
-        return mixed((run[self.end] - run[self.start]) * p[len(s) - self.start])
+        return Stretches(self.low if symbols is None else symbols).of(self.start, self.end)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
