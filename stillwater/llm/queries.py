@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stillwater.llm import decontamination, html_text, mixing, quality, secrets, sharding, simhash, toxicity
+from stillwater.llm import decontamination, html_text, mixing, quality, repeats, secrets, sharding, simhash, toxicity
 from stillwater.llm.common import table
 
 QUERIES: dict = {}
@@ -52,6 +52,12 @@ def op4_quality(spark, sf_dir):
     return quality.score(docs, model).withColumn("kept", quality.kept())
 
 
+@query()
+def op5_repeats(spark, sf_dir):
+    """What is left of every document without strings of 200 bytes that start elsewhere too."""
+    return repeats.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query()
 def op6_toxicity(spark, sf_dir):
     """Toxicity of every document, learned from those that are not held out."""
