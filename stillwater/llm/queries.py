@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stillwater.llm import decontamination, html_text, mixing, quality, repeats, secrets, sharding, simhash, toxicity
+from stillwater.llm import decontamination, html_text, mixing, neighbours, quality, repeats, secrets, sharding, simhash, toxicity
 from stillwater.llm.common import table
 
 QUERIES: dict = {}
@@ -21,6 +21,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_neighbours(spark, sf_dir):
+    """Link count and component of every embedding."""
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query(sharding.SQL)
 def op2_sharding(spark, sf_dir):
     """Every document's shard and slot under the law ``rows``."""
