@@ -31,6 +31,7 @@ MIN_SAMPLE = 8
 TRAIN_DOCS = 20_000
 THRESHOLD = 0.5
 SMOOTHING = 0.5
+BACKOFF = 5.0  # pairs' worth of the plain character frequencies in every row
 KINDS = ("assign", "access", "hex", "markov")
 
 
@@ -106,7 +107,12 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, smoothing: float = SMOO
     for row in known.collect():
         counts[row["random"]][a[row["pair"][0]]][a[row["pair"][1]]] = row["count"]
 
-    logs = [[[math.log((n + smoothing) / (sum(line) + smoothing * size)) for n in line] for line in c] for c in counts]
+    def logs(c):
+        total = sum(map(sum, c))
+        plain = [(sum(line[y] for line in c) + smoothing) / (total + smoothing * size) for y in range(size)]
+        return [[math.log((n + BACKOFF * p) / (sum(line) + BACKOFF)) for n, p in zip(line, plain)] for line in c]
+
+    logs = [logs(c) for c in counts]
     return [r - o for rl, ol in zip(logs[1], logs[0]) for r, o in zip(rl, ol)]
 
 
@@ -169,8 +175,12 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
     SELECT x.c AS x, y.c AS y, r.random, count(p.random) AS n
     FROM alphabet x CROSS JOIN alphabet y CROSS JOIN (VALUES (0), (1)) r(random)
     LEFT JOIN pairs p ON p.x = x.c AND p.y = y.c AND p.random = r.random GROUP BY ALL),
+  plain AS (
+    SELECT y, random, (n + {SMOOTHING}) / (sum(n) OVER (PARTITION BY random) + {SMOOTHING * len(ALPHABET)}) AS p
+    FROM (SELECT y, random, sum(n) AS n FROM counts GROUP BY y, random)),
   logs AS (
-    SELECT x, y, random, ln((n + {SMOOTHING}) / (sum(n) OVER (PARTITION BY x, random) + {SMOOTHING * len(ALPHABET)})) AS l FROM counts),
+    SELECT x, y, random, ln((n + {BACKOFF} * p) / (sum(n) OVER (PARTITION BY x, random) + {BACKOFF})) AS l
+    FROM counts JOIN plain USING (y, random)),
   ratios AS (SELECT x, y, sum(CASE WHEN random = 1 THEN l ELSE -l END) AS r FROM logs GROUP BY ALL),
   scored AS (
     SELECT t.rid, t.kind, t.s, t.e, avg(r) AS score
