@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stillwater.llm.textwords import Words
+from stillwater.llm.textwords import Words, by_bytes
 
 TRAIN_DOCS = 6000
 DIMENSIONS = 2**16
@@ -67,16 +67,26 @@ def _bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        numbers, first = features(_bytes(b["text"]))
-        idx, val = [], []
-        for i in range(b.num_rows):
-            u, n = np.unique(numbers[first[i]:first[i + 1]], return_counts=True)
-            idx.append(u.astype(np.int32))
-            val.append((n / (n.sum() + SHRINK)).astype(np.float32))
+        texts, idx, val = _bytes(b["text"]), [], []
+        for lo, hi in by_bytes(texts):
+            numbers, first = features(texts[lo:hi])
+            for i in range(hi - lo):
+                u, n = np.unique(numbers[first[i]:first[i + 1]], return_counts=True)
+                idx.append(u.astype(np.int32))
+                val.append((n / (n.sum() + SHRINK)).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
             [b["grade"], pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["grade", "idx", "val"])
 
 
+def _scores(texts: list[bytes | None], w: np.ndarray) -> np.ndarray:
+    out = [np.zeros(0)]
+    for lo, hi in by_bytes(texts):
+        numbers, first = features(texts[lo:hi])
+        run = np.concatenate([[0.0], np.cumsum(w[numbers], dtype=np.float64)])
+        out.append((run[first[1:]] - run[first[:-1]]) / (np.diff(first) + SHRINK))
+    return np.concatenate(out)
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -91,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", train_docs:
         return None
     part = F.pmod(F.xxhash64(F.col("id__").cast("string")), F.lit(1_000_000))
     drawn = graded.where(part < int(1_000_000 * min(1.0, train_docs / n)))
-    rows = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("id__")).select("grade", "text")
+    # The sample has a proven bound, so its ids go to the documents.
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id__")).select("grade", "text")
     got = rows.mapInArrow(_counts, "grade long, idx array<int>, val array<float>").toArrow()
     if not got.num_rows:
         return None
@@ -129,16 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", train_docs:
 
 def score(docs: DataFrame, model: dict | None, *keep: str) -> DataFrame:
     """doc_id, score, expected (grade), p_best (probability of the best grade), and columns to keep."""
-    out = docs.select("doc_id", "text", *keep)
+    keep = tuple(c for c in keep if c != "doc_id")
+    out = docs.select("doc_id", *([] if "text" in keep else ["text"]), *keep)
     if model is None:
         return out.select("doc_id", *[F.lit(None).cast("double").alias(c) for c in ("score", "expected", "p_best")], *keep)
     w, t, grades = model["weights"], model["thresholds"], model["grades"]
 
     def scored(batches):
         for b in batches:
-            numbers, first = features(_bytes(b["text"]))
-            run = np.concatenate([[0.0], np.cumsum(w[numbers], dtype=np.float64)])
-            s = (run[first[1:]] - run[first[:-1]]) / (np.diff(first) + SHRINK)
+            s = _scores(_bytes(b["text"]), w)
             below = sigmoid(t[None, :] - s[:, None])
             p = np.diff(np.column_stack([np.zeros(len(s)), below, np.ones(len(s))]), axis=1)
             columns = [b["doc_id"], pa.array(s), pa.array(p @ grades), pa.array(p[:, -1]), *[b[c] for c in keep]]

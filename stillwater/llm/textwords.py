@@ -70,3 +70,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+def by_bytes(texts: list[bytes | None], most: int = 1 << 20):
+    """(first, last) of runs of texts of about ``most`` bytes, so that arrays over them stay small."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= most:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
