@@ -91,7 +91,7 @@ def test_repeats(docs, nothing):
 def test_toxicity(spark, docs, nothing):
     labels = spark.createDataFrame([(1, 1), (7, 0), (5, 0), (3, None)], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect()} == {0.0}
-    model = toxicity.fit(docs, labels, epochs=1)
+    model = toxicity.fit(docs, labels, steps=5)
     got = toxicity.score(docs, model).collect()
     assert len(got) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in got)
     assert len({r["score"] for r in got if r["doc_id"] in (2, 3, 4)}) == 1 and toxicity.score(nothing, model).count() == 0
