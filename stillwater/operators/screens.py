@@ -140,7 +140,8 @@ def tukey_fallback(obs, multiplier=3.0, lower_q=0.25, upper_q=0.75, iterations=5
     """Baseline rows that survive up to ``iterations`` rounds of O1+O2, with
     ``n_steps`` (1-based count of rounds run)."""
     base = obs.filter(tukey_baseline() if predicate is None else lit_false(predicate))
-    iv = screen_interval(base, "lake_id", "wse", multiplier, lower_q, upper_q, 150.0, iterations, heavy)
+    # written: the optimiser does not get through the join over several nested rounds
+    iv = cut(screen_interval(base, "lake_id", "wse", multiplier, lower_q, upper_q, 150.0, iterations, heavy))
     return base.join(iv, "lake_id").filter((F.col("wse") >= F.col("lo")) & (F.col("wse") <= F.col("hi"))).drop(
         "lo", "hi", "n_kept"
     )

@@ -168,7 +168,7 @@ def area_histogram(masked, bins_per_decade: int = 10) -> DataFrame:
         "a", "b",
         F.greatest(F.lit(5), F.log10(F.col("b") / F.col("a")).cast("int") * bins_per_decade).alias("n_edges"),
     )
-    pos = F.log10(F.col("lake_area") / F.col("a")) / F.log10(F.col("b") / F.col("a")) * (F.col("n_edges") - 1)
+    pos = F.log10(F.col("lake_area") / F.col("a")) / F.nullif(F.log10(F.col("b") / F.col("a")), F.lit(0.0)) * (F.col("n_edges") - 1)
     b = F.least(F.floor(F.round(pos, 9)).cast("int"), F.col("n_edges") - 2)
     counted = d.crossJoin(F.broadcast(ends)).withColumn("bin", F.coalesce(b, F.lit(0)))  # ends: one row
     return counted.groupBy("bin").agg(

@@ -79,7 +79,7 @@ def lake_stats(
     kept = M.retained_variability(labelled, dm)
     ret = M.retention(labelled.withColumn("kept", F.col("filter_flag") == 1))
     meta = labelled.groupBy(KEY).agg(
-        *[F.first(c).alias(c) for c in ("filter_attempt", "n_while", "n_while_r2", "intra_cycle_flag", "p_ref_area")]
+        *[F.min_by(c, "index_col").alias(c) for c in ("filter_attempt", "n_while", "n_while_r2", "intra_cycle_flag", "p_ref_area")]
     ).withColumnRenamed("p_ref_area", "lake_area")
     out = registry.select(KEY, "gauge_source")
     for part in (meta, errors, dm.drop("long_enough"), kept, ret):
