@@ -12,6 +12,7 @@ from stillwater.operators import thresholds as T
 from stillwater.plans import filtering, summaries as X, validation as V
 from stillwater.session import configure, cut, heavy_rows_limit
 from stillwater.sources import gauges as SG, tables
+from stillwater.sources.fixed import CYCLE_START
 from catalogue import duck
 from catalogue.duck import METH, r6, sql
 
@@ -857,7 +858,7 @@ def anomalies(t):
     return rounded(X.anomalies(t.scored), [KEY, "index_col"], [f"anom_{n}" for n in ("raw", "filtered", "stringent", "permissive", "gauge")])
 
 
-_CYCLES = ", ".join(f"({c}, '{s}')" for c, s in __import__("stillwater.sources.fixed", fromlist=["x"]).CYCLE_START)
+_CYCLES = ", ".join(f"({c}, '{s}')" for c, s in CYCLE_START)
 
 
 @register(sql("lab", body=f"""select lake_id, l.cycle_id, cast(cast(start_time as date) as varchar) as start_date, count(wse) as n_raw, count(wse_adjusted) as n_filtered,
@@ -915,8 +916,10 @@ def area_stats(t):
 
 
 def _masked(t):
-    ref = X.reference_lakes(_attempts(t))
-    return X.with_keep_mask(t.stats, ref)
+    """Statistics with the attempt and mask of the reference selection."""
+    ref = cut(X.reference_lakes(_attempts(t)))
+    stats = t.stats.drop("filter_attempt").join(ref.select(KEY, "filter_attempt"), KEY, "left")
+    return X.with_keep_mask(stats.withColumn("filter_attempt", F.coalesce("filter_attempt", F.lit("no data"))), ref)
 
 
 duck.CTE["ref"] = _REF
@@ -924,14 +927,18 @@ duck.CTE["masked"] = "select stats.* exclude (filter_attempt), coalesce(ref.filt
 
 
 @register(sql("masked", body=f"""select count(*) as n_lakes, {r6('avg(keep_mask * 1e2)')} as kept_share,
- {r6('avg(case when keep_mask = 1 and mae_filtered is not null then 1e2 else 0e0 end)')} as validated_share from masked"""))
+ {r6('avg(case when keep_mask = 1 and mae_filtered is not null then 1e2 else 0e0 end)')} as validated_share,
+ {r6('avg(0e0) filter (where keep_mask = 1 and mae_filtered is not null)')} as corrected_share from masked"""))
 def selection_shares(t):
-    return rounded(X.selection_shares(_masked(t)), ["n_lakes"], ["kept_share", "validated_share"])
+    return rounded(X.selection_shares(_masked(t)), ["n_lakes"], ["kept_share", "validated_share", "corrected_share"])
 
 
 @register(sql("masked", body="""with d as (select * from masked where lake_area > 0), e as (select min(lake_area) a, max(lake_area) b,
   greatest(5, cast(trunc(log10(max(lake_area) / min(lake_area))) as int) * 10) n from d)
  select cast(least(floor(round(log10(lake_area / a) / log10(b / a) * (n - 1), 9)), n - 2) as int) as bin, count(*) as n_all,
- count(*) filter (where keep_mask = 1) as n_kept, count(*) filter (where keep_mask = 1 and mae_filtered is not null) as n_validated from d, e group by 1"""))
+ count(*) filter (where filter_attempt = '1_strict') as n_strict, count(*) filter (where keep_mask = 1) as n_kept, count(*) filter (where keep_mask = 1 and mae_filtered is not null) as n_validated from d, e group by 1"""))
 def area_histogram(t):
-    return X.area_histogram(_masked(t)).select("bin", "n_all", "n_kept", "n_validated")
+    return X.area_histogram(_masked(t)).select("bin", "n_all", "n_strict", "n_kept", "n_validated")
+
+
+from catalogue import io_queries  # noqa: E402,F401  (registers the sources and sinks)

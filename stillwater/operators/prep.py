@@ -68,9 +68,9 @@ def distinct_times(obs: DataFrame) -> DataFrame:
 
 
 def first_seen_order(df: DataFrame, id_col: str, position_col: str) -> DataFrame:
-    """Distinct ids with the rank of their first position."""
+    """Distinct ids with their first position and its rank from 1 (one row per id is ordered)."""
     first = df.groupBy(id_col).agg(F.min(position_col).alias("first_position"))
-    return first
+    return first.withColumn("first_rank", F.row_number().over(W.orderBy("first_position", id_col)))
 
 
 def exclude(df: DataFrame, ids: DataFrame, key: str = SERIES) -> DataFrame:

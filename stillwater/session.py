@@ -40,6 +40,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         )
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder beside the lineage cuts, shared by all executors."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written to the cluster's checkpoint folder.
 
@@ -48,7 +54,6 @@ def cut(df: DataFrame) -> DataFrame:
     bound; a table read back has the size of its files.
     """
     spark = df.sparkSession
-    _ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

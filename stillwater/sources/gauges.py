@@ -138,6 +138,36 @@ def preferred_source(registry: DataFrame) -> DataFrame:
     return registry.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
+def assemble(
+    spark: SparkSession, files: list[tuple[GaugeSource, str]], metadata: DataFrame | None = None,
+    monthly_path: str | None = None, monthly_lakes=(), excluded_lakes=(),
+) -> tuple[DataFrame, DataFrame]:
+    """Readings of each lake's preferred source, and the registry
+    (lake_id, gauge_source, priority, tolerance) behind them.
+
+    Sources keyed by a name go through ``metadata``; the lakes of the monthly route
+    take their readings from the monthly table instead of that source.
+    """
+    monthly_lakes, excluded_lakes = list(monthly_lakes), list(excluded_lakes)
+    parts = []
+    for spec, path in files:
+        by_name = spec.key != GaugeSource("", 0).key
+        part = read_by_name(spark, path, metadata, spec) if by_name else read_source(spark, path, spec)
+        if by_name and monthly_path is not None:
+            part = part.filter(~F.col("lake_id").isin(monthly_lakes))
+            month = read_monthly(spark, monthly_path, metadata, spec.name)
+            part = part.unionByName(month.filter(F.col("lake_id").isin(monthly_lakes)))
+        parts.append(part)
+    readings = union_sources(parts).filter("lake_id is not null and gauge_datetime is not null and gauge_wse is not null")
+    readings = readings.filter(~F.col("lake_id").isin(excluded_lakes))
+    order = F.create_map(*[F.lit(x) for spec, _ in files for x in (spec.name, spec.priority)])
+    tolerance = F.create_map(*[F.lit(x) for spec, _ in files for x in (spec.name, spec.tolerance)])
+    listed = readings.select("lake_id", "gauge_source").distinct().withColumns(
+        {"priority": order[F.col("gauge_source")], "tolerance": tolerance[F.col("gauge_source")]})
+    registry = preferred_source(listed)
+    return readings.join(registry.select("lake_id", "gauge_source"), ["lake_id", "gauge_source"]), registry
+
+
 RULE_SCHEMA = (
     "lake_id long, t_from timestamp_ntz, t_from_open boolean, t_to timestamp_ntz, t_to_open boolean, "
     "v_lt double, v_gt double"

@@ -8,25 +8,47 @@ from ..config import COLLECTION_TAGS
 from ..schema import OBSERVATIONS, REQUIRED, require_columns
 
 
+def _files_by_header(spark: SparkSession, path: str, required=REQUIRED) -> dict[str, list[str]]:
+    """CSV files by their header line; a file whose header lacks a column is an error."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    is_header = F.lit(True)
+    for c in required:
+        is_header = is_header & F.contains("value", F.lit(c))
+    found = lines.groupBy("file").agg(F.max(F.when(is_header, F.col("value"))).alias("header"))
+    out: dict[str, list[str]] = {}
+    for row in found.orderBy("file").collect():  # a row per file
+        if row["header"] is None:
+            require_columns(spark.read.option("header", True).csv(row["file"]), required)
+        out.setdefault(row["header"], []).append(row["file"])
+    return out
+
+
 def read_observations(spark: SparkSession, path: str, fmt: str = "parquet", schema=OBSERVATIONS) -> DataFrame:
-    """Cached observations. CSV columns are matched by header name, so only
-    known columns are read and a missing one is an error."""
+    """Cached observations. CSV columns are matched by the header of their own
+    file, so only known columns are read and a missing one is an error."""
     if fmt == "parquet":
         return require_columns(spark.read.parquet(path))
-    header = spark.read.option("header", True).csv(path).columns
-    df = spark.read.option("header", True).schema(
-        T.StructType([T.StructField(c, T.StringType()) for c in header])
-    ).csv(path)
-    require_columns(df)
-    cols = []
-    for f in schema.fields:
-        if f.name in header:
-            # integers may be written with a decimal point
-            via = F.col(f.name).try_cast("double") if f.dataType != T.StringType() else F.col(f.name)
-            if isinstance(f.dataType, T.LongType):
-                via = F.coalesce(F.col(f.name).try_cast("long"), via.cast("long"))
-            cols.append(via.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    parts = []
+    for header, files in _files_by_header(spark, path).items():
+        names = [c.strip().strip('"') for c in header.split(",")]
+        text = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        df = require_columns(spark.read.option("header", True).schema(text).csv(files))
+        cols = []
+        for f in schema.fields:
+            raw = F.col(f.name) if f.name in names else F.lit(None).cast("string")
+            if isinstance(f.dataType, (T.LongType, T.IntegerType)):
+                # integers may be written with a decimal point
+                raw = F.coalesce(raw.try_cast("long"), raw.try_cast("double").cast("long"))
+            elif f.dataType != T.StringType():
+                raw = raw.try_cast("double")
+            cols.append(raw.cast(f.dataType).alias(f.name))
+        parts.append(df.select(*cols))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def parse_responses(bodies: DataFrame, body: str = "body", schema=OBSERVATIONS, required=REQUIRED) -> DataFrame:
