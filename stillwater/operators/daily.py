@@ -22,13 +22,14 @@ def spine(bounds: DataFrame, first: str = "first_date", last: str = "last_date")
     return bounds.withColumn("date", F.explode(days))
 
 
-def _neighbours(col: str):
-    item = F.when(F.col(col).isNotNull(), F.struct(F.col("date").alias("d"), F.col(col).alias("v")))
+def _with_neighbours(days: DataFrame, cols: list[str]) -> DataFrame:
+    """``__a_<c>`` and ``__b_<c>``: the last value up to a day and the first from it
+    on, as (d, v). All columns share one ascending and one descending order."""
+    item = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("date").alias("d"), F.col(c).alias("v")))
     grow = lambda order: W.partitionBy(KEY).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        F.last(item, ignorenulls=True).over(grow(F.col("date").asc())),
-        F.last(item, ignorenulls=True).over(grow(F.col("date").desc())),
-    )
+    for mark, order in (("a", F.col("date").asc()), ("b", F.col("date").desc())):
+        days = days.withColumns({f"__{mark}_{c}": F.last(item(c), ignorenulls=True).over(grow(order)) for c in cols})
+    return days
 
 
 def _linear(day: Column, a: Column, b: Column) -> Column:
@@ -42,13 +43,14 @@ def _linear(day: Column, a: Column, b: Column) -> Column:
     )
 
 
+def _filled(c: str) -> Column:
+    return _linear(F.col("date"), F.col(f"__a_{c}"), F.col(f"__b_{c}"))
+
+
 def interpolate_daily(days: DataFrame, cols: list[str]) -> DataFrame:
     """D3 on a complete calendar."""
-    for c in cols:
-        a, b = _neighbours(c)
-        days = days.withColumn("__a", a).withColumn("__b", b)
-        days = days.withColumn(c, _linear(F.col("date"), F.col("__a"), F.col("__b"))).drop("__a", "__b")
-    return days
+    near = _with_neighbours(days, cols)
+    return near.select(*[_filled(c).alias(c) if c in cols else c for c in days.columns])
 
 
 def daily_series(
@@ -83,9 +85,8 @@ def daily_series(
     days = spine(span).drop("first_date", "last_date")
     days = days.join(od.drop("__window"), [KEY, "date"], "left").join(gd, [KEY, "date"], "left")
     # observations only count on their own calendar, the gauge on its own
-    days = interpolate_daily(days, names)
-    a, b = _neighbours("daily_gauge")
-    days = days.withColumn("__a", a).withColumn("__b", b)
+    days = _with_neighbours(days, [*names, "daily_gauge"])
+    days = days.withColumnsRenamed({"__a_daily_gauge": "__a", "__b_daily_gauge": "__b"})
     inside_gap = (
         F.col("daily_gauge").isNull()
         & (F.datediff(F.col("__b.d"), F.col("__a.d")) >= major_gap_days)
@@ -97,5 +98,5 @@ def daily_series(
     gb_ = F.when(F.col("__b.d") <= F.col("w2"), F.col("__b"))
     kept = kept.withColumn("__a", ga).withColumn("__b", gb_)
     return kept.select(
-        KEY, "date", *names, _linear(F.col("date"), F.col("__a"), F.col("__b")).alias("daily_gauge")
+        KEY, "date", *[_filled(c).alias(c) for c in names], _linear(F.col("date"), F.col("__a"), F.col("__b")).alias("daily_gauge")
     )

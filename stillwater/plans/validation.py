@@ -8,6 +8,7 @@ from ..config import ValidationConfig
 from ..functions.columns import benchmark_columns, timestamp_to_seconds
 from ..operators import asof, metrics as M
 from ..operators.daily import daily_series
+from ..session import cut
 
 KEY = "lake_id"
 SHORT = {"Raw": "raw", "Stringent": "stringent", "Permissive": "permissive", "Filtered": "filtered"}
@@ -36,7 +37,8 @@ def gauge_seconds(gauge: DataFrame, ts="gauge_datetime") -> DataFrame:
 
 def scored_rows(labelled: DataFrame, gauge: DataFrame, tolerance, heavy=None) -> DataFrame:
     """Matched rows with benchmark columns and the datum-corrected gauge."""
-    return M.with_corrected_gauge(match_gauges(benchmark_columns(labelled), gauge, tolerance), heavy)
+    # written: the offset reads the matches a second time
+    return M.with_corrected_gauge(cut(match_gauges(benchmark_columns(labelled), gauge, tolerance)), heavy)
 
 
 def daily_tables(labelled: DataFrame, gauge: DataFrame, cfg: ValidationConfig) -> DataFrame:
@@ -75,7 +77,7 @@ def lake_stats(
     errors = _pivot(method_errors(scored, cfg, heavy), cfg, ["n_match", "n_used", "mae", "median_error"])
     daily = daily_tables(labelled, gauge, cfg)
     methods = [f"daily_{SHORT[m]}" for m in cfg.methods]
-    dm = M.daily_metrics(daily, methods, cfg)
+    dm = cut(M.daily_metrics(daily, methods, cfg))  # a row per lake, read twice
     kept = M.retained_variability(labelled, dm)
     ret = M.retention(labelled.withColumn("kept", F.col("filter_flag") == 1))
     meta = labelled.groupBy(KEY).agg(
