@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stillwater.llm.textwords import Words, mixed, ranges
+from stillwater.llm.textwords import Words, by_bytes, mixed, ranges
 
 WINDOW, STRIDE = 48, 36
 WORD_ROWS, CHAR_ROWS = 2**14, 2**12
 WORD_SIZE = CHAR_SIZE = STATE = 8
 TRAIN_DOCS, TRAIN_WORDS = 5000, 1500
-EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.015, 0.01
+STEPS, BATCH, RATE, DECAY = 800, 32, 0.015, 0.01
 KNOWN_DOCS = 8
 BLOCK = 8192
 ALARM = 0.7
@@ -204,7 +204,7 @@ def _calibrated(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(v[0]), float(v[1])
 
 
-def learn(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> dict:
+def learn(texts: list[bytes], toxic: np.ndarray, steps: int = STEPS, seed: int = 5) -> dict:
     """A trained network with the slope and offset that calibrate its largest logit."""
     rng = np.random.default_rng(seed)
     held = np.arange(len(texts)) % 4 == 3
@@ -218,10 +218,9 @@ def learn(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, seed: int
     model["bias"][0] = -3
     step, begin = 0, np.cumsum(inputs.length) - inputs.length
     window = np.searchsorted(inputs.doc, np.arange(len(fit) + 1))
-    steps = epochs * max(1, len(fit) // BATCH)
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(fit))
-        for docs in np.array_split(order, max(1, len(fit) // BATCH)):
+        for docs in np.array_split(order, max(1, len(fit) // BATCH))[:steps - step]:
             docs = np.sort(docs)
             some = ranges(window[docs], window[docs + 1] - window[docs])
             (part, words, size), = _blocks(inputs, some, len(some))
@@ -254,7 +253,7 @@ def learn(texts: list[bytes], toxic: np.ndarray, epochs: int = EPOCHS, seed: int
     return model | {"slope": a, "offset": b}
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, epochs: int = EPOCHS) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, steps: int = STEPS) -> dict | None:
     """A network from a bounded sample: half of it toxic documents if there are as many."""
     known = labels.select(F.col("doc_id").alias("id__"), F.col("toxic").cast("int").alias("y")).where(
         "y in (0, 1) and id__ is not null")
@@ -264,14 +263,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, epochs
     part = F.pmod(F.xxhash64(F.col("id__").cast("string")), F.lit(1_000_000))
     share = lambda y: int(1_000_000 * min(1.0, train_docs / 2 / n[y]))
     drawn = known.where(part < F.when(F.col("y") == 1, share(1)).otherwise(share(0)))
-    rows = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("id__"))
+    # The sample has a proven bound, so its ids go to the documents.
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id__"))
     short = F.size(F.split("text", r"[\x20\x09-\x0D]+")) <= TRAIN_WORDS
     got = rows.where(short).select("doc_id", "y", "text").toPandas().sort_values(["doc_id", "y", "text"])
     if got["y"].nunique() < 2:
         return None
     # In a fixed random order, so that the part for calibration is a random one.
     got = got.iloc[np.random.default_rng(11).permutation(len(got))]
-    return learn([t.encode() for t in got["text"]], got["y"].to_numpy(), epochs)
+    return learn([t.encode() for t in got["text"]], got["y"].to_numpy(), steps)
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -283,8 +283,8 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     def scored(batches):
         for b in batches:
             texts = b["text"].cast(pa.binary()).to_pylist()
-            s = [logits(model, texts[i:i + 500]) for i in range(0, len(texts), 500)]
-            p = sigmoid(np.clip(model["slope"] * np.concatenate(s or [np.zeros(0)]) + model["offset"], -30, 30))
+            s = np.concatenate([np.zeros(0), *(logits(model, texts[lo:hi]) for lo, hi in by_bytes(texts))])
+            p = sigmoid(np.clip(model["slope"] * s + model["offset"], -30, 30))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(p)], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
