@@ -197,7 +197,8 @@ def spans(docs: DataFrame, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) ->
     """doc_id, th, hits (s0, runs) of every document with a repeat; ``docs`` has doc_id, th, text."""
     everything = written(docs.mapInArrow(_cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, "
                                                "s0 int, many short, off short, a long, f long"))
-    again = everything.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # Written first, so that the join has plain shuffles on both sides and can split a hot anchor.
+    again = written(everything.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     found = written(everything.join(again, "a"))
     classes = found.groupBy("a", "f").agg(F.count("*").alias("n"), F.min(F.struct("th", "doc_id", "s0", "many", "off")).alias("at"))
     classes = written(classes)
