@@ -243,9 +243,10 @@ CTE["stats"] = f"""select registry.lake_id, gauge_source, coalesce(filter_attemp
 
 
 # ------------------------------------------------------------------ grids
-def grid(base: str) -> str:
+def grid(base: str, midnight: bool = False) -> str:
     """Daily grid of table ``base`` (lake_id, time, wse), linear, flat ends."""
-    return f"""with o as (select lake_id, min(time) t0, max(time) t1 from {base} group by 1),
+    end = (lambda x: f"floor({x} / 8.64e4) * 8.64e4") if midnight else (lambda x: x)
+    return f"""with o as (select lake_id, {end('min(time)')} t0, {end('max(time)')} t1 from {base} group by 1),
  sp as (select lake_id, t0, cast(floor((t1 - t0) / 8.64e4) as bigint) k_last,
    unnest(generate_series(0, cast(floor((t1 - t0) / 8.64e4) as bigint))) as k from o),
  gg as (select *, t0 + k * 8.64e4 as g from sp),
@@ -290,6 +291,38 @@ CTE["med"] = """select a.lake_id, a.k, a.k_last, a.g, a.y, quantile_cont(coalesc
  where abs(a.j) <= case when a.k_last < 21 then (a.k_last + 1) // 2 else 10 end group by all"""
 
 
+# Hampel day by day: ten values as left behind, the day itself and ten to come.
+CTE["hgrid"] = grid("bs", midnight=True)
+CTE["ham"] = """with recursive ys as (select lake_id, list(y order by k) as a, count(*) as n from hgrid group by 1),
+ r as (select lake_id, 9::bigint as k, a[1:10] as prev, a[10] as curve from ys where n >= 21
+  union all
+  select lake_id, k, list_append(prev[2:10], v), v from (
+   select lake_id, k, prev, case when mad > 0 and abs(y - med) > 3 * mad then med else y end as v from (
+    select *, 1.4826e0 * list_median(list_transform(w, lambda x: abs(x - med))) as mad from (
+     select *, list_median(w) as med from (
+      select r.lake_id, r.k + 1 as k, prev, a[r.k + 2] as y, list_concat(prev, a[r.k + 2:r.k + 12]) as w
+      from r join ys on ys.lake_id = r.lake_id where r.k + 1 < n - 10)))))
+ select hgrid.lake_id, hgrid.k, g, coalesce(r.curve, y) as curve from hgrid left join r on r.lake_id = hgrid.lake_id and r.k = hgrid.k"""
+
+
+def at_times(curve: str) -> str:
+    """Linear evaluation of a grid curve at the baseline's times."""
+    return f"""select b.lake_id, b.index_col, {r6("coalesce((nx.curve - c.curve) * ((b.time - c.g) / 8.64e4) + c.curve, c.curve)")} as smooth
+ from bs b asof join {curve} c on b.lake_id = c.lake_id and b.time >= c.g left join {curve} nx on nx.lake_id = c.lake_id and nx.k = c.k + 1"""
+
+
+# Least-squares cubic by polynomials orthogonal over a lake's own times.
+CTE["cubic"] = """with x as (select lake_id, index_col, wse as y,
+  2 * (time - min(time) over l) / nullif(max(time) over l - min(time) over l, 0) - 1 as x, count(*) over l as n from bs window l as (partition by lake_id)),
+ p1 as (select *, x - avg(x) over l as p1 from x window l as (partition by lake_id)),
+ p2 as (select *, x * p1 - sum(x * p1 * p1) over l / sum(p1 * p1) over l * p1 - sum(p1 * p1) over l / n as p2 from p1 window l as (partition by lake_id)),
+ p3 as (select *, x * p2 - sum(x * p2 * p2) over l / sum(p2 * p2) over l * p2 - sum(p2 * p2) over l / sum(p1 * p1) over l * p1 as p3
+  from p2 window l as (partition by lake_id)),
+ f as (select *, avg(y) over l + sum(y * p1) over l / sum(p1 * p1) over l * p1 + sum(y * p2) over l / sum(p2 * p2) over l * p2
+  + sum(y * p3) over l / sum(p3 * p3) over l * p3 as f from p3 window l as (partition by lake_id))
+ select lake_id, index_col, coalesce(n > 3 and sum((y - f) ** 2) over (partition by lake_id) <= 1e6, false) as spline_ok, f from f"""
+
+
 def sql(*names: str, body: str) -> str:
     """WITH the named tables and everything before them that they may need."""
     need: list[str] = []

@@ -585,10 +585,10 @@ def _curve_query(kind):
 
 
 for _kind in ("wavelet", "hampel", "kalman"):
-    register()(_curve_query(_kind))
+    register(sql("ham", "bs", body=duck.at_times("ham")) if _kind == "hampel" else None)(_curve_query(_kind))
 
 
-@register()
+@register(sql("cubic", body=f"select lake_id, index_col, spline_ok, case when spline_ok then {r6('f')} end as smooth from cubic"))
 def spline_curve(t):
     b = t.baseline.select(KEY, "index_col", "time", "wse")
     return rounded(smoothers.spline(b, b), [KEY, "index_col", "spline_ok"], ["smooth"])
