@@ -941,4 +941,60 @@ def area_histogram(t):
     return X.area_histogram(_masked(t)).select("bin", "n_all", "n_strict", "n_kept", "n_validated")
 
 
+
+# ------------------------------------------------- labels, trace and shares by state
+@register(sql("ok", body="select lake_id, index_col, coalesce(wse_std > wse_std_thr_cal, false) as wse_std_above from ok"))
+def std_above_threshold(t):
+    return C.above_calibrated(T.with_thresholds(t.u, t.thr, STRICT.bounds)).select(KEY, "index_col", "wse_std_above")
+
+
+def _traced(rows, names, used):
+    kept = lambda c: used or c.endswith(("_source", "_cal"))
+    cols = [f"o.{c}" if c.endswith("_source") else f"{r6('o.' + c)} as {c}" if kept(c) else f"cast(null as double) as {c}" for c in names]
+    return f"select l.lake_id, l.index_col, {', '.join(cols)} from {rows} l left join {'ok' if used else 'okl'} o using (lake_id, index_col)"
+
+
+@register(sql("p", "ok", body=_traced("p", T.trace_columns(), True)))
+def filter_trace(t):
+    """W8 in threshold-only mode: trace of the strict attempt, blank on repeated times."""
+    cfg = FilterConfig(apply_low_pass=False, adjust_cycles=False, append_trace=True)
+    o = filtering.run_filter(t.stored, cfg, heavy=t.heavy)["observations"]
+    return rounded(o, [KEY, "index_col", *_SOURCE], _TRACE)
+
+
+@register(sql("lab", "okl", body=_traced("lab", T.trace_columns(), False)))
+def fallback_trace(t):
+    """Series of the Tukey fallback have no bound and no applied threshold."""
+    o = filtering.append_trace(t.labelled, t.u, t.thr, FilterConfig())
+    return rounded(o, [KEY, "index_col", *_SOURCE], _TRACE)
+
+
+@register(sql("ok", body=f"""select {_CALSQL}, '1_strict' as filter_attempt,
+ {', '.join(f"{r6('b.' + c)} as {c}" for c in ('wse_std_thr_bound', 'wse_u_thr_bound', 'xtrk_dist_thr_bound'))}
+ from thr left join (select lake_id, crid_scenario, pass_id, 'ice-free' as ice_condition, max(wse_std_thr_bound) as wse_std_thr_bound,
+  max(wse_u_thr_bound) as wse_u_thr_bound, max(xtrk_dist_thr_bound) as xtrk_dist_thr_bound from ok group by 1, 2, 3) b
+ using (lake_id, crid_scenario, pass_id, ice_condition)"""))
+def attempt_summary(t):
+    """The threshold table with the attempt that used it."""
+    s = filtering.run_filter(t.stored, FilterConfig(apply_low_pass=False, adjust_cycles=False), heavy=t.heavy)["threshold_summary"]
+    return rounded(s, [*_CALROW, "filter_attempt"], _CAL + ["wse_std_thr_bound", "wse_u_thr_bound", "xtrk_dist_thr_bound"])
+
+
+@register(sql("eice", body=f"""select ice_cond, method, lake_id, {r6('mae')} as value,
+ {r6('row_number() over (partition by ice_cond, method order by mae, lake_id) * 100e0 / count(*) over (partition by ice_cond, method)')} as pct
+ from eice where mae is not null"""))
+def ecdf_by_ice(t):
+    e = X.error_by_ice(t.scored, VCFG, t.heavy).withColumnRenamed("mae", "value")
+    return rounded(X.ecdf(e, ["ice_cond", "method"], "value"), ["ice_cond", "method", KEY], ["value", "pct"])
+
+
+@register(f"""select round(min(reduction_pct), 6) as min_reduction, round(max(reduction_pct), 6) as max_reduction,
+ round(quantile_cont(reduction_pct, 0.5), 5) as median_reduction from ({ORACLE["area_bin_reduction"]})""")
+def reduction_range(t):
+    """The reductions of the bins in one row."""
+    x = rounded(X.area_bin_reduction(_valid_stats(t), t.many_lakes), ["area_bin"], ["reduction_pct"])
+    m = X.reduction_range(x)
+    return m.select("min_reduction", "max_reduction", F.round("median_reduction", 5).alias("median_reduction"))
+
+
 from catalogue import io_queries  # noqa: E402,F401  (registers the sources and sinks)

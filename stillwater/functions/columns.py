@@ -109,6 +109,11 @@ def quality_labels(df: DataFrame) -> DataFrame:
     )
 
 
+def above_calibrated(df: DataFrame) -> DataFrame:
+    """``wse_std`` above the calibrated threshold of its row (trace columns needed)."""
+    return df.withColumn("wse_std_above", lit_false(F.col("wse_std") > F.col("wse_std_thr_cal")))
+
+
 def benchmark_columns(df: DataFrame) -> DataFrame:
     """The value where a benchmark holds, else NULL."""
     return df.withColumn("wse_stringent", F.when(stringent(), F.col("wse"))).withColumn(

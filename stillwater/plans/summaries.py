@@ -186,18 +186,18 @@ def anomalies(scored) -> DataFrame:
     return j.select(KEY, "index_col", *[(F.col(c) - F.col("__m")).alias(f"anom_{n}") for n, c in cols.items()])
 
 
-def ecdf(long, group: list[str], value: str, buckets: int = 4096) -> DataFrame:
+def ecdf(long, group: list[str], value: str, buckets: int = 256) -> DataFrame:
     """Position of each value in its group, percent (i / n, ties apart).
 
-    Values are bucketed between the group's ends, so a large group is ranked
-    bucket by bucket with offsets from the bucket counts.
+    Values are bucketed between approximate quantiles of the group, so a large
+    group is ranked bucket by bucket, evenly whatever its outliers, with offsets
+    from the bucket counts.
     """
     d = long.filter(F.col(value).isNotNull() & (F.abs(value) < float("inf")))
-    ends = d.groupBy(*group).agg(F.min(value).alias("__a"), F.max(value).alias("__b"), F.count("*").alias("n"))
+    cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 20 * buckets)
+    ends = d.groupBy(*group).agg(cuts.alias("__cuts"), F.count("*").alias("n"))
     d = d.join(ends, group)
-    width = F.col("__b") - F.col("__a")
-    b = F.floor(F.coalesce(F.try_divide((F.col(value) - F.col("__a")) * buckets, width), F.lit(0.0)))
-    d = d.withColumn("__bucket", b).drop("__a", "__b")
+    d = d.withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     counts = d.groupBy(*group, "__bucket").agg(F.count("*").alias("__c"))
     counts = counts.withColumn(
         "__before", F.sum("__c").over(W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("__c")
