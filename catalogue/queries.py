@@ -719,26 +719,38 @@ def lake_stats(t):
 
 
 # -------------------------------------------------------------- summaries
-@register(sql("u", "thr", "registry", body="""select lake_id, 'observations' as missing_in from registry where lake_id not in (select l_suppkey from lineitem)
- union all select lake_id, 'series' from registry where lake_id not in (select lake_id from u)
- union all select lake_id, 'thresholds' from registry where lake_id not in (select lake_id from thr)"""))
+# A registry that also lists lakes nobody observed, and lakes without any gauge reading.
+_MORE_SQL = "(select * from registry union all select lake_id + 1000000, gauge_source, priority from registry where lake_id % 9 = 0)"
+_BAD_SQL = f"""select r.lake_id, n is null as no_data, coalesce(n = 0, false) as no_gauge_joined, coalesce(n < 2, false) as few_pairs
+ from (select distinct lake_id from {_MORE_SQL}) r left join (select lake_id, count(case when lake_id % 4 <> 1 then gauge_wse end) as n
+ from matched group by 1) m on m.lake_id = r.lake_id where n is null or n < 2"""
+
+
+def _more_lakes(t):
+    unseen = t.registry.filter("lake_id % 9 = 0").withColumn("lake_id", F.col("lake_id") + 1000000)
+    return t.registry.unionByName(unseen)
+
+
+def _invalid(t):
+    return X.invalid_lakes(_more_lakes(t), V.match_gauges(t.p, t.gauge.filter("lake_id % 4 <> 1"), t.tolerance))
+
+
+@register(sql("u", "thr", "registry", body=f"""select lake_id, 'observations' as missing_in from {_MORE_SQL} where lake_id not in (select l_suppkey from lineitem)
+ union all select lake_id, 'series' from {_MORE_SQL} where lake_id not in (select lake_id from u where lake_id % 10 <> 3)
+ union all select lake_id, 'thresholds' from {_MORE_SQL} where lake_id not in (select lake_id from thr where lake_id % 11 <> 4)"""))
 def coverage_sets(t):
-    return X.coverage_sets(t.registry, t.raw, t.stored, t.thr)
+    return X.coverage_sets(_more_lakes(t), t.raw, t.stored.filter("lake_id % 10 <> 3"), t.thr.filter("lake_id % 11 <> 4"))
 
 
-@register(sql("matched", "registry", body="""select r.lake_id, n is null as no_data, coalesce(n = 0, false) as no_gauge_joined,
- coalesce(n < 2, false) as few_pairs from registry r left join (select lake_id, count(gauge_wse) as n from matched group by 1) m
- on m.lake_id = r.lake_id where n is null or n < 2"""))
+@register(sql("matched", "registry", body=_BAD_SQL))
 def invalid_lakes(t):
-    return X.invalid_lakes(t.registry, V.match_gauges(t.p, t.gauge, t.tolerance))
+    return _invalid(t)
 
 
-@register(sql("matched", "registry", body="""with bad as (select r.lake_id from registry r left join (select lake_id, count(gauge_wse) as n from matched
- group by 1) m on m.lake_id = r.lake_id where n is null or n < 2)
- select gauge_source, count(distinct lake_id) as n_before, count(distinct lake_id) filter (where lake_id not in (select lake_id from bad)) as n_after
- from registry group by 1"""))
+@register(sql("matched", "registry", body=f"""select gauge_source, count(distinct lake_id) as n_before,
+ count(distinct lake_id) filter (where lake_id not in (select lake_id from ({_BAD_SQL}))) as n_after from {_MORE_SQL} group by 1"""))
 def source_counts(t):
-    return X.source_counts(t.registry, X.invalid_lakes(t.registry, V.match_gauges(t.p, t.gauge, t.tolerance)))
+    return X.source_counts(_more_lakes(t), _invalid(t))
 
 
 @register(sql("ret", "registry", body=f"""select coalesce(filter_attempt, 'no data') as filter_attempt, count(*) as n_lakes,

@@ -141,14 +141,16 @@ def test_one_superstep_equals_the_helper(spark):
 
 
 def test_superstep_loop_equals_grouped_fixpoint(spark):
-    rows = filter_rows(spark).filter("lake_id = 1").cache()
-    cfg = FilterConfig(round1_cap=1, round2_cap=1)
+    # lake 2 needs the lenient attempt; some ice rows have no pass
+    rows = filter_rows(spark).filter("lake_id in (1, 2)")
+    rows = rows.withColumn("pass_id", F.when((F.col("ice_clim_f") > 1) & (F.col("index_col") % 3 == 0), None).otherwise(F.col("pass_id"))).cache()
+    cfg = FilterConfig(round1_cap=2, round2_cap=1)
     a = filtering.low_pass(rows, cfg, []).toPandas()
-    b = filtering.low_pass(rows, cfg, [1]).toPandas()
+    b = filtering.low_pass(rows, cfg, [1, 2]).toPandas()
     key = ["lake_id", "index_col"]
     a, b = a.sort_values(key).reset_index(drop=True), b.sort_values(key).reset_index(drop=True)
     pd.testing.assert_frame_equal(a[b.columns], b, check_dtype=False)
-    assert len(a) and (a.filter_attempt == "1_strict").all()
+    assert a.groupby("lake_id").filter_attempt.first().to_dict() == {1: "1_strict", 2: "2_lenient"}
 
 
 def test_attempt_order(spark):
@@ -160,7 +162,7 @@ def test_attempt_order(spark):
 @pytest.mark.parametrize("kind", ["median", "hampel", "wavelet", "kalman", "spline", "lowess"])
 def test_every_filter_runs(spark, kind):
     got = filtering.low_pass(filter_rows(spark).filter("lake_id = 1"), FilterConfig(filter_type=kind), []).toPandas()
-    assert got.empty or (got.n_while > 0).all()
+    assert len(got) > 50 and (got.n_while > 0).all() and got.index_col.is_unique
 
 
 def test_cycle_correction(spark):
