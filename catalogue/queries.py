@@ -468,10 +468,13 @@ def best_pass(t):
     return rounded(cycles.best_pass(t.u, t.heavy), [KEY, "pass_id"], ["median_area"])
 
 
-@register(sql("u", body=f"""with g as ({_GATE}), b as ({_BIAS}), on_ as (select b.* from b join g using (lake_id) where apply),
+_ADJUST = f"""with g as ({_GATE}), b as ({_BIAS}), on_ as (select b.* from b join g using (lake_id) where apply),
  q as (select lake_id, quantile_cont(adj, 0.1) lo, quantile_cont(adj, 0.9) hi from on_ group by 1)
- select lake_id, index_col, {r6('adj')} as wse_adjusted from on_ join q using (lake_id) where adj >= lo - 3 * (hi - lo) and adj <= hi + 3 * (hi - lo)
- union all select lake_id, index_col, {r6('wse')} from u join g using (lake_id) where not apply"""))
+ select lake_id, index_col, wse, adj as wse_adjusted from on_ join q using (lake_id) where adj >= lo - 3 * (hi - lo) and adj <= hi + 3 * (hi - lo)
+ union all select lake_id, index_col, wse, wse from u join g using (lake_id) where not apply"""
+
+
+@register(sql("u", body=f"select lake_id, index_col, {r6('wse_adjusted')} as wse_adjusted from ({_ADJUST})"))
 def pass_bias_adjust(t):
     return rounded(cycles.adjust_cycles(t.u, t.heavy)[2], [KEY, "index_col"], ["wse_adjusted"])
 
@@ -1009,4 +1012,4 @@ def reduction_range(t):
     return m.select("min_reduction", "max_reduction", F.round("median_reduction", 5).alias("median_reduction"))
 
 
-from catalogue import io_queries  # noqa: E402,F401  (registers the sources and sinks)
+from catalogue import filter_twin, io_queries  # noqa: E402,F401  (register themselves)
