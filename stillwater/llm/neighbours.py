@@ -236,7 +236,7 @@ def links(found: DataFrame, link: float = LINK, sample: int = SAMPLE) -> tuple[D
     lists = apart.groupBy("shard").applyInPandas(grow, "node long, nbr array<long>").groupBy("node").agg(
         F.array_distinct(F.flatten(F.collect_list("nbr"))).alias("nbr"))
 
-    def look(key, g: pd.DataFrame) -> pd.DataFrame:
+    def look(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("node")
         ids, exact = g["node"].to_numpy(), unit(_matrix(g["embedding"]))
         x, n, mine = exact.astype(np.float32), g["n"].to_numpy(), key[0]

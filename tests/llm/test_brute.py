@@ -174,7 +174,10 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    tox = QUERIES["op6_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").toPandas()
+    model = toxicity.fit(docs, labels.where(f"not ({HELD_OUT})"), steps=400)
+    some = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(HELD_OUT)
+    tox = toxicity.score(some, model).join(labels, "doc_id").toPandas()
+    tox["predicted"] = (tox.score >= toxicity.ALARM).astype(int)
     hit, alarm, bad = ((tox.predicted == 1) & (tox.toxic == 1)).sum(), (tox.predicted == 1).sum(), (tox.toxic == 1).sum()
     assert hit >= 0.75 * bad and hit >= 0.85 * alarm  # 305 toxic documents to learn from
     model = quality.fit(docs, labels.where(f"not ({HELD_OUT})"))
