@@ -1,7 +1,7 @@
 """SQL twin of the iterated filter: its steps unrolled to the fixpoint on the data.
 
-A finished series repeats itself when stepped again, so every series takes all
-steps; its own number of iterations is where its row count stops falling. Savgol
+A series that a step leaves as it is has finished and is carried along; its number of
+iterations is where its row count stops falling. Savgol
 curve, evaluation on the baseline; the lenient attempt takes the series that the
 strict one leaves, the Tukey fallback what both leave.
 """
@@ -47,16 +47,26 @@ def _attempt(x: str, ok: str, name: str, lenient: bool, only: str = "true") -> N
     """Registers {x}kept: lake_id, index_col, filter_attempt, n_while, n_while_r2 of one attempt."""
     supported = lambda rows: f"(select lake_id from ({_COV.format(src=rows)}) where {_ENOUGH if lenient else _STRICT_OK})"
     cte, alive_in = duck.CTE, lambda q: f"(lake_id, index_col) in (select (lake_id, index_col) from ({q}))"
+    def going(prefix, i):
+        """Lakes that the step before changed; the others stay as they are."""
+        if i == 1:
+            return "true"
+        return f"""lake_id in (select lake_id from (select lake_id, count(*) as n from {prefix}{i - 1} group by 1)
+ join (select lake_id, count(*) as m from {prefix}{i - 2} group by 1) using (lake_id) where n < m)"""
+
     cte[f"{x}r0"] = f"select * from {ok} where passes and {only}"
     for i in range(1, ROUND1 + 1):
-        alive = _step(f"{x}a{i}", f"{x}r{i - 1}", "xovr_cal_q < 2 and quality_f < 3", "2.576", "7e-2", lenient)
-        cte[f"{x}r{i}"] = f"select * from {x}r{i - 1} where {alive_in(alive)}"
+        cte[f"{x}ra{i}"] = f"select * from {x}r{i - 1} where {going(f'{x}r', i)}"
+        alive = _step(f"{x}a{i}", f"{x}ra{i}", "xovr_cal_q < 2 and quality_f < 3", "2.576", "7e-2", lenient)
+        cte[f"{x}r{i}"] = f"select * from {x}r{i - 1} where not ({going(f'{x}r', i)}) or {alive_in(alive)}"
     cte[f"{x}lock"] = f"select * from {x}r{ROUND1} where lake_id in {supported(f'{x}r{ROUND1}')}"
     locked, best = alive_in(f"select * from {x}lock"), "quality_f = 0 and xovr_cal_q = 0 and ice_clim_f = 0"
     cte[f"{x}h0"] = f"select * from {ok} where lake_id in (select lake_id from {x}lock) and ({locked} or (passes and {best}))"
     for i in range(1, ROUND2 + 1):
-        alive = _step(f"{x}b{i}", f"{x}h{i - 1}", "true", "3.5e0", "5e-2", lenient)
-        cte[f"{x}h{i}"] = f"select * from {x}h{i - 1} where lake_id in {supported(f'fb{x}b{i}')} and ({locked} or {alive_in(alive)})"
+        cte[f"{x}ha{i}"] = f"select * from {x}h{i - 1} where {going(f'{x}h', i)}"
+        alive = _step(f"{x}b{i}", f"{x}ha{i}", "true", "3.5e0", "5e-2", lenient)
+        cte[f"{x}h{i}"] = f"""select * from {x}h{i - 1} where not ({going(f'{x}h', i)})
+ or (lake_id in {supported(f'fb{x}b{i}')} and ({locked} or {alive_in(alive)}))"""
     cte[f"{x}n1"], cte[f"{x}n2"] = _iterations(f"{x}r", ROUND1), _iterations(f"{x}h", ROUND2)
     cte[f"{x}kept"] = f"""select k.lake_id, k.index_col, '{name}' as filter_attempt, a.n_steps as n_while, b.n_steps as n_while_r2
  from {x}h{ROUND2} k join {x}n1 a using (lake_id) join {x}n2 b using (lake_id) where k.lake_id in {supported(f'{x}h{ROUND2}')}"""
