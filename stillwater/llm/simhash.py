@@ -189,10 +189,10 @@ def links(fps: DataFrame, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, leav
         shard, "a long, b long")
 
 
-def groups(marked: DataFrame) -> DataFrame:
-    """fp, component_id, from a written table with doc_id and fp."""
+def groups(marked: DataFrame, near=links) -> DataFrame:
+    """fp, component_id, from a written table with doc_id and fp; ``near`` gives the links of fps."""
     smallest = written(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    parts = components(links(smallest))
+    parts = components(near(smallest))
     named = smallest.join(parts, F.col("fp") == F.col("node"), "left").withColumn(
         "part", F.coalesce("component", "fp"))
     ids = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
@@ -208,7 +208,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group: the smallest id's; of rows with that id, one."""
     marked = written(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("th__")), "doc_id", "th__"))
-    found = groups(marked).withColumnRenamed("component_id", "cid__")
+    return first_rows(docs, marked, groups(marked))
+
+
+def first_rows(docs: DataFrame, marked: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for the groups ``found``; ``marked`` has doc_id, th__ and fp."""
+    found = found.withColumnRenamed("component_id", "cid__")
     best = marked.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("cid__"))).groupBy(
         F.coalesce(F.col("cid__").cast("string"), F.concat(F.lit("fp"), F.col("fp"))).alias("group")).agg(
         F.min(F.struct("doc_id", "th__")).alias("b"))
