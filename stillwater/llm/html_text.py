@@ -7,7 +7,10 @@ which elements, roles and class names tell. Weights are summed over windows of `
 lines; text starts where the sum surges to the threshold and ends at the dive, where a
 whole window is empty. A page with an ``article`` or ``main`` element has its weights there
 alone and any text is a surge, so that no short paragraph is lost; elsewhere the threshold
-is ``SURGE`` characters and headings right above a surge belong to it.
+is ``SURGE`` characters and headings right above a surge belong to it; if no window surges,
+the heaviest run of lines is the text. Class names are a guess: an element that they make
+noise counts as text if an article inside it is longer than those outside noise, or than all
+text outside noise if there are none, or if it holds over half of the text of a page without.
 
 Defined cases: null, empty and text-free pages give an empty text; unclosed elements end
 with their parent, unclosed scripts and comments with the page; page_id and url may be
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +35,7 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = set("nav footer aside form button select textarea menu dialog head iframe object video audio canvas".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+HEAD = set("html head title meta link base script style noscript template".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NOISE = re.compile(
     r"(?<![a-z])(ads?|adverts?|advertisements?|sponsor(ed)?|promos?|banners?|cookies?|consent|gdpr|notices?|alerts?|"
@@ -46,37 +51,55 @@ ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""
 SPACE = re.compile(r"\s+")
 
 
-def is_noise(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds no main text."""
+def is_noise(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element holds no main text; 1 if only its class or id says so, else 2."""
     if name in BOILERPLATE or name == "header" and not in_article:
-        return True
+        return 2
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
     found = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)}
     hidden = found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(
         r"(?<![\w=\"'-])hidden(?![\w-])", attributes.lower())
     if name in ("body", "html", "main"):
-        return False
+        return 0
     named = f"{found.get('class', '')} {found.get('id', '')}".replace("_", "-")
-    return bool(hidden) or found.get("role", "") in ROLES or bool(NOISE.search(named))
+    return 2 if hidden or found.get("role", "") in ROLES else int(bool(NOISE.search(named)))
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, weight without links, inside an article, heading) of every line; noise is empty."""
+    out, spared = scan(page, frozenset())
+    return scan(page, spared)[0] if spared else out
+
+
+def scan(page: str, spared: frozenset) -> tuple[list[tuple[str, int, bool, bool]], frozenset]:
+    """The lines, and the places of elements that are noise by class name and hold the main text."""
     out, pieces, links = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # name, noise, inside an article
+    stack: list[tuple[str, int, bool, int | None]] = []  # name, noise, inside an article, place if noise by class name
     heading = False
+    total, in_articles, held, articles = 0, 0, Counter(), Counter()
 
     def close():
-        nonlocal pieces, links, heading
+        nonlocal pieces, links, heading, total, in_articles
         text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-        noise, article = stack[-1][1:] if stack else (False, False)
+        noise, article = stack[-1][1:3] if stack else (0, False)
+        if text and noise < 2:
+            weight, inner = max(len(text) - links, 0), False
+            total += weight
+            in_articles += len(text) if article and not noise else 0
+            for name, _, _, place in reversed(stack if noise else []):
+                if place is not None:
+                    held[place] += weight
+                    articles[place] += len(text) if inner else 0
+                inner = inner or name in ("article", "main")
         if text:
             out.append(("", 0, article, False) if noise else (text, max(len(text) - links, 0), article, heading))
         pieces, links, heading = [], 0, False
 
     def take(text: str):
         nonlocal links, heading
+        if stack and stack[-1][0] == "head" and text.strip():
+            del stack[-1]  # text is never in the head
         if text:
             pieces.append(text)
             if any(e[0] == "a" for e in stack[-8:]):
@@ -90,6 +113,9 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
+        if not (m[2] or m[5]) and name not in HEAD and any(e[0] == "head" for e in stack):
+            close()
+            del stack[next(i for i, e in enumerate(stack) if e[0] == "head"):]
         if name == "br":
             pieces.append(" ")
             continue
@@ -106,15 +132,21 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
                 if p is not None and stack[p][0] == "p":
                     del stack[p:]
-            _, noise, article = stack[-1] if stack else ("", False, False)
+            noise, article = stack[-1][1:3] if stack else (0, False)
             main = name in ("article", "main")
             if main and noise and next(e[0] for e in stack if e[1]) in ("nav", "header"):
-                noise = False  # a menu that was never closed
-            noise = noise or is_noise(name, m[4] or m[7] or "", article)
-            stack.append((name, noise, article or main and not noise))
+                noise = 0  # a menu that was never closed
+            own = 0 if noise == 2 else is_noise(name, m[4] or m[7] or "", article)
+            if own == 1 and m.start() in spared:
+                own = 0
+            noise = max(noise, own)
+            stack.append((name, noise, article or main and not noise, m.start() if own == 1 else None))
     take(page[at:])
     close()
-    return out
+    least = in_articles or sum(weight for text, weight, _, _ in out if text)
+    if in_articles or any(n > least for n in articles.values()):
+        return out, frozenset(p for p, n in articles.items() if n > least)
+    return out, frozenset(p for p, n in held.items() if 2 * n > total)
 
 
 def main_text(page: str | None) -> str:
@@ -139,6 +171,12 @@ def main_text(page: str | None) -> str:
         while i < len(found) and sums[i]:
             i += 1
         kept += range(first, i)
+    if not kept and any(weight):
+        stops = [-1, *[k for k, n in enumerate(sums) if not n], len(found)]
+        first, last = max(((a + 1, b) for a, b in zip(stops, stops[1:])), key=lambda r: sum(weight[r[0]:r[1]]))
+        while first and found[first - 1][3] and found[first - 1][0]:
+            first -= 1
+        kept = range(first, last)
     return "\n\n".join(found[k][0] for k in kept if found[k][0] and (found[k][2] or not marked))
 
 
