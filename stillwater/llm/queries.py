@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stillwater.llm import decontamination, html_text, mixing, neighbours, quality, repeats, secrets, sharding, simhash, toxicity
+from stillwater.llm import conversations, decontamination, html_text, mixing, neighbours, quality, repeats, secrets, sharding, simhash, toxicity
 from stillwater.llm.common import table
 
 QUERIES: dict = {}
@@ -97,3 +97,10 @@ def op10_simhash(spark, sf_dir):
     """Fingerprint and group of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query(conversations.SQL)
+def op13_conversations(spark, sf_dir):
+    """Faults, cheapest repair and repaired text of every damaged conversation."""
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.digested(rows, conversations.plans(rows))
