@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stillwater.llm import conversations, decontamination, html_text, mixing, neighbours, quality, repeats, secrets, sharding, simhash, toxicity
+from stillwater.llm import conversations, decontamination, html_text, mixing, neighbours, pivots, quality, ranked, repeats, secrets, sharding, simhash, toxicity
 from stillwater.llm.common import table
 
 QUERIES: dict = {}
@@ -99,6 +99,18 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query(ranked.SQL)
+def op11_ranked(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(pivots.SQL)
+def op12_pivots(spark, sf_dir):
+    """The five vectors of highest integer inner product with every fiftieth vector."""
+    return pivots.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query(conversations.SQL)
 def op13_conversations(spark, sf_dir):
     """Faults, cheapest repair and repaired text of every damaged conversation."""
