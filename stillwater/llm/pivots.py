@@ -101,11 +101,31 @@ class Geometry:
         return (whole - least * least) / 2 + MARGIN * whole + 0.5
 
 
-def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products; in whole numbers of any size where 64 bits may not do, then cut."""
-    if float(np.abs(v.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * max(len(q), 1) < 2.0**62:
-        return v @ q
-    return np.array([min(max(s, -_LONG - 1), _LONG) for s in v.astype(object) @ q.astype(object)], np.int64)
+class Part:
+    """Candidates that one task evaluates: vectors, distances to the pivots, one row per pivot, and ids."""
+
+    def __init__(self, v: np.ndarray, table: np.ndarray, ids: list):
+        self.v, self.table, self.ids = v, np.ascontiguousarray(table.T), ids
+        self.counts = np.fromiter((len(i) for i in ids), np.int64, len(ids))
+        self.place = {x.tobytes(): i for i, x in enumerate(v)}
+        self.largest = float(np.abs(v.astype(float)).max(initial=0))
+
+    def products(self, some: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact inner products; in whole numbers of any size where 64 bits may not do, then cut."""
+        if self.largest * float(np.abs(q.astype(float)).max(initial=0)) * max(len(q), 1) < 2.0**62:
+            return self.v[some] @ q
+        return np.array([min(max(s, -_LONG - 1), _LONG) for s in self.v[some].astype(object) @ q.astype(object)], np.int64)
+
+    def bounds(self, q: dict, geometry: Geometry) -> tuple[np.ndarray, np.ndarray]:
+        """(places, bounds) of the candidates whose bounds reach the goal; pivots by turns leave ever fewer."""
+        some, least = np.arange(len(self.v)), np.zeros(len(self.v))
+        for first in range(0, len(self.table), PIVOTS // 4):
+            for p in range(first, min(first + PIVOTS // 4, len(self.table))):
+                least = np.maximum(least, np.abs(self.table[p][some] - q["d"][p]))
+            if q["goal"] is not None:
+                stay = geometry.best(q["v"], least) >= q["goal"]
+                some, least = some[stay], least[stay]
+        return some, geometry.best(q["v"], least)
 
 
 def kth(scores: np.ndarray, counts: np.ndarray, k: int) -> int | None:
@@ -115,26 +135,27 @@ def kth(scores: np.ndarray, counts: np.ndarray, k: int) -> int | None:
     return int(scores[order[at]]) if at < len(order) else None
 
 
-def visit(q: dict, k: int, v: np.ndarray, table: np.ndarray, ids: list, geometry: Geometry) -> list[tuple]:
+def visit(q: dict, k: int, part: Part, geometry: Geometry) -> list[tuple]:
     """(score, id) of the k best of one part for one query, evaluated in the order of bounds."""
-    counts = np.fromiter((len(i) for i in ids), np.int64, len(ids))
-    own = np.flatnonzero((v == q["v"]).all(1))
-    mine = None
-    if len(own) and q["id"] in (mine := list(ids[own[0]])):
+    own = part.place.get(q["v"].tobytes(), -1)
+    mine, counts = list(part.ids[own]) if own >= 0 else [], part.counts
+    if q["id"] in mine:
         mine.remove(q["id"])
-        counts[own[0]] -= 1
-    bound = geometry.best(q["v"], np.abs(table - q["d"]).max(1))
-    order, goal = np.argsort(-bound, kind="stable"), q["goal"]
-    at, size, seen, scores = 0, CHUNK, order[:0], np.zeros(0, np.int64)
-    while at < len(order) and (goal is None or bound[order[at]] >= goal):
-        some = order[at:at + size]
-        seen, scores = np.concatenate([seen, some]), np.concatenate([scores, products(v[some], q["v"])])
+        counts = counts.copy()
+        counts[own] -= 1
+    some, bound = part.bounds(q, geometry)
+    order = np.argsort(-bound, kind="stable")
+    some, bound, goal = some[order], bound[order], q["goal"]
+    at, size, scores = 0, CHUNK, np.zeros(0, np.int64)
+    while at < len(some) and (goal is None or bound[at] >= goal):
+        scores = np.concatenate([scores, part.products(some[at:at + size], q["v"])])
         at, size = at + size, size * 2
-        now = kth(scores, counts[seen], k)
+        now = kth(scores, counts[some[:at]], k)
         goal = now if goal is None or now is not None and now > goal else goal
+    seen = some[:at]
     if goal is not None:
         seen, scores = seen[scores >= goal], scores[scores >= goal]
-    found = [(int(s), i) for c, s in zip(seen, scores) for i in (mine if mine is not None and c == own[0] else ids[c])]
+    found = [(int(s), i) for c, s in zip(seen, scores) for i in (mine if c == own else part.ids[c])]
     return sorted(found, key=lambda f: (-f[0], f[1] is None, f[1] or 0))[:k]
 
 
@@ -227,10 +248,10 @@ def search(vectors: DataFrame, wanted: Column, k: int = 5, vec: str = "embedding
             if len(candidates) and len(some):
                 v, d = filled(list(candidates["v"]), geometry.dim), np.vstack(list(candidates["d"]))
                 ids = [[None if i is None or i != i else int(i) for i in x] for x in candidates["ids"]]
-                asked_v = filled(list(some["v"]), geometry.dim)
+                part, asked_v = Part(v, d, ids), filled(list(some["v"]), geometry.dim)
                 for i, (id_, tag_, qd, goal) in enumerate(zip(some["id"], some["tag"], some["d"], some["goal"])):
                     q = {"id": int(id_), "v": asked_v[i], "d": np.asarray(qd), "goal": None if pd.isna(goal) else int(goal)}
-                    out += [(int(id_), tag_, s, f) for s, f in visit(q, k, v, d, ids, geometry)]
+                    out += [(int(id_), tag_, s, f) for s, f in visit(q, k, part, geometry)]
             return pd.DataFrame(out, columns=["id", "tag", "score", "vec_id"]).astype({"id": "int64", "score": "int64", "vec_id": "Int64"})
 
         keys = ["cell", "part", "block"]
