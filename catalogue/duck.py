@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from stillwater.sources.tables import ARRIVAL, GAUGE_WSE, OBS_COLUMNS, SCENARIO
+from stillwater.sources.tables import ARRIVAL, DAY_OF, GAUGE_WSE, OBS_COLUMNS, SCENARIO
 
 FILL = "-999999999999e0"
 ARR = ", ".join(ARRIVAL)
@@ -16,10 +16,10 @@ def r6(x: str) -> str:
 
 
 CTE: dict[str, str] = {}
-CTE["obs"] = f"""select {RAW}, {ARR} from (
+CTE["obs"] = f"""select {RAW}, {ARR} from (select *, {DAY_OF} as d95 from (
  select *, {SCENARIO} as scenario,
-  date_diff('day', date '1995-01-01', cast(l_shipdate as date)) as d95
- from lineitem join supplier on l_suppkey = s_suppkey)"""
+  date_diff('day', date '1995-01-01', cast(l_shipdate as date)) as d0
+ from lineitem join supplier on l_suppkey = s_suppkey))"""
 NEW = "(crid like '%C2' or regexp_matches(crid, '^.*D.$'))"
 CTE["num"] = f"select *, row_number() over (partition by lake_id order by time, {ARR}) - 1 as index_col from obs"
 CTE["p"] = f"""select * exclude (wse_u, wse_std, xtrk_dist),
@@ -281,11 +281,22 @@ def _centre(window=21, order=3):
                       for j in range(-h, h + 1))
 
 
-CTE["sg"] = f"""select lake_id, k, k_last, g, y, case when k_last < 21 or k < 10 or k > k_last - 10 then e.curve else mid end as curve from (
- select *, {_centre()} as mid from grid window w as (partition by lake_id order by k)) left join (
+
+
+def savgol(window=21, order=3, weights="sgw") -> str:
+    h = window // 2
+    return f"""select lake_id, k, k_last, g, y, case when k_last < {window} or k < {h} or k > k_last - {h} then e.curve else mid end as curve from (
+ select *, {_centre(window, order)} as mid from grid window w as (partition by lake_id order by k)) left join (
  select a.lake_id, a.k, sum(w.w * n.y) as curve from (select *, case when k < wl // 2 then 0 when k > k_last - wl // 2 then k_last + 1 - wl else k - wl // 2 end as s
-  from (select *, case when k_last >= 21 then 21 else k_last - k_last % 2 + 1 end as wl from grid) where (k_last < 21 or k < 10 or k > k_last - 10) and wl <= k_last + 1) a
- join sgw w on w.wl = a.wl and w.i = a.k - a.s join grid n on n.lake_id = a.lake_id and n.k = a.s + w.j group by 1, 2) e using (lake_id, k)"""
+  from (select *, case when k_last >= {window} then {window} else k_last - k_last % 2 + 1 end as wl from grid) where (k_last < {window} or k < {h} or k > k_last - {h}) and wl <= k_last + 1) a
+ join {weights} w on w.wl = a.wl and w.i = a.k - a.s join grid n on n.lake_id = a.lake_id and n.k = a.s + w.j group by 1, 2) e using (lake_id, k)"""
+
+
+CTE["sg"] = savgol()
+SWEEP = [(w, p) for p in (2, 3) for w in (11, 21, 31)]
+CTE["sgw2"], CTE["sgw3"] = _weights(31, 2), _weights(31, 3)
+for _i, (_w, _p) in enumerate(SWEEP):
+    CTE[f"sw{_i}"] = savgol(_w, _p, f"sgw{_p}")
 CTE["med"] = """select a.lake_id, a.k, a.k_last, a.g, a.y, quantile_cont(coalesce(n.y, 0), 0.5) as curve from
  (select grid.*, unnest(range(-10, 11)) as j from grid) a left join grid n on n.lake_id = a.lake_id and n.k = a.k + a.j
  where abs(a.j) <= case when a.k_last < 21 then (a.k_last + 1) // 2 else 10 end group by all"""
@@ -305,12 +316,54 @@ CTE["ham"] = """with recursive ys as (select lake_id, list(y order by k) as a, c
  select hgrid.lake_id, hgrid.k, g, coalesce(r.curve, y) as curve from hgrid left join r on r.lake_id = hgrid.lake_id and r.k = hgrid.k"""
 
 
-def at_times(curve: str) -> str:
+def at_times(curve: str, rounded: bool = True) -> str:
     """Linear evaluation of a grid curve at the baseline's times."""
-    return f"""select b.lake_id, b.index_col, {r6("coalesce((nx.curve - c.curve) * ((b.time - c.g) / 8.64e4) + c.curve, c.curve)")} as smooth
+    value = "coalesce((nx.curve - c.curve) * ((b.time - c.g) / 8.64e4) + c.curve, c.curve)"
+    return f"""select b.lake_id, b.index_col, {r6(value) if rounded else value} as smooth
  from bs b asof join {curve} c on b.lake_id = c.lake_id and b.time >= c.g left join {curve} nx on nx.lake_id = c.lake_id and nx.k = c.k + 1"""
 
 
+def best_residual(curves: list[str], observed: str) -> str:
+    """Signed curve minus value of smallest size, the first of equals."""
+    size = [f"coalesce(abs({c} - {observed}), 'inf'::double)" for c in curves]
+    least = f"least({', '.join(size)})"
+    return "case " + " ".join(f"when {s} = {least} then {c} - {observed}" for s, c in zip(size, curves)) + " end"
+
+
+_c = [f"c{i}" for i in range(len(SWEEP))]
+CTE["sweep"] = "select b.lake_id, b.index_col, b.wse, " + ", ".join(f"e{i}.smooth as c{i}" for i in range(len(SWEEP))) + " from bs b " + " ".join(
+    f"left join ({at_times(f'sw{i}', False)}) e{i} on e{i}.lake_id = b.lake_id and e{i}.index_col = b.index_col" for i in range(len(SWEEP)))
+SWEEP_SQL = f"""select lake_id, index_col, {r6(f"least({', '.join(_c)})")} as bottom, {r6(f"greatest({', '.join(_c)})")} as top,
+ {r6(best_residual(_c, 'wse'))} as residual from sweep"""
+
+
+def _line(source: str) -> str:
+    """Local line at each point of ``source`` from weighted neighbours (d, w, y)."""
+    return f"""select lake_id, index_col, f, any_value(v) as v, any_value(po) as o, case when sum(w) > 0 then
+  sum(w * y) / sum(w) - sum(w * d) / sum(w) * ((sum(w * d * y) / sum(w) - sum(w * d) / sum(w) * (sum(w * y) / sum(w)))
+   / greatest(sum(w * d * d) / sum(w) - (sum(w * d) / sum(w)) ** 2, 1e-12)) end as fit from {source} group by 1, 2, 3"""
+
+
+# Local lines over every fraction: neighbours by ordinal, tricube weights, one round of robustness weights.
+CTE["lob"] = """select lake_id, index_col, (time - min(time) over l) / 8.64e4 as x, wse as y,
+ row_number() over (partition by lake_id order by time) - 1 as o, count(*) over l as n from bs window l as (partition by lake_id)"""
+CTE["lok"] = """select distinct lake_id, f, least(n, greatest(1, cast(floor((case when f = 4 then 5e-1 else 1e-1 + f * ((5e-1 - 1e-1) / 4) end) * n + 1e-10) as bigint))) as k
+ from lob, range(5) r(f) where n >= 3"""
+CTE["lom"] = """select a.lake_id, f, a.o as j, (a.x + c.x) / 2 as mid from lob a join lok using (lake_id) join lob c on c.lake_id = a.lake_id and c.o = a.o + k"""
+CTE["low"] = """select p.lake_id, p.index_col, p.f, p.k, p.x as a, p.y as v, p.o as po, coalesce(m.j + 1, 0) as i from (select * from lob join lok using (lake_id)) p
+ asof left join lom m on p.lake_id = m.lake_id and p.f = m.f and p.x > m.mid"""
+CTE["lon"] = """select low.lake_id, low.index_col, low.f, v, po, c.o, c.x - a as d, c.y, (1 - least(abs(c.x - a) / nullif(greatest(a - s.x, e.x - a), 0), 1) ** 3) ** 3 as t
+ from low join lob s on s.lake_id = low.lake_id and s.o = i join lob e on e.lake_id = low.lake_id and e.o = i + k - 1
+ join lob c on c.lake_id = low.lake_id and c.o between i and i + k - 1"""
+CTE["lo0"] = _line("(select *, t as w from lon)")
+CTE["lor"] = """select lake_id, f, o, case when fit is null then 0 when m = 0 then (case when abs(v - fit) > 0 then 0 else 1 end)
+ else (1 - least(abs(v - fit) / (6 * m), 1) ** 2) ** 2 end as rw from lo0 join (select lake_id, f, quantile_cont(abs(v - fit), 0.5) as m from lo0 group by 1, 2) using (lake_id, f)"""
+CTE["lo1"] = _line("(select lon.*, t * rw as w from lon join lor using (lake_id, f, o))")
+LOWESS_SQL = f"""select bs.lake_id, bs.index_col, {r6('lo')} as bottom, {r6('hi')} as top, {r6('best')} as residual from bs left join (
+ select lake_id, index_col, min(fit) as lo, max(fit) as hi, arg_min(fit - v, {{'s': abs(fit - v), 'it': it, 'f': f}}) filter (where fit is not null) as best
+ from (select *, 0 as it from lo0 union all select *, 1 from lo1) group by 1, 2) using (lake_id, index_col)"""
+
+
 # Least-squares cubic by polynomials orthogonal over a lake's own times.
 CTE["cubic"] = """with x as (select lake_id, index_col, wse as y,
   2 * (time - min(time) over l) / nullif(max(time) over l - min(time) over l, 0) - 1 as x, count(*) over l as n from bs window l as (partition by lake_id)),

@@ -88,11 +88,10 @@ def _gauge_times(t):
 
 
 _THREE = "case when lake_id % 3 = 0 then 'India' when lake_id % 3 = 1 then 'China' else 'West_Africa' end"
-_KEPT_G = "select * from gauge where lake_id % 13 <> 5"
 
 
 @register(sql("gauge", body=f"""select lake_id, {_THREE} as gauge_source, {r6('gauge_time')} as gauge_time, {r6('gauge_wse')} as gauge_wse,
- case when lake_id % 3 = 0 then 1382400e0 else 86400e0 end as tolerance from ({_KEPT_G})"""))
+ case when lake_id % 3 = 0 then 1382400e0 else 86400e0 end as tolerance from gauge"""))
 def gauge_registry_files(t):
     """Three source files to one registry; a lake listed twice keeps the first source."""
     path, g = scratch_path(t.spark, "io"), _gauge_times(t)
@@ -113,7 +112,7 @@ def gauge_registry_files(t):
         files.append((spec[s], f"{path}/{s}"))
     lakes = t.registry.select("lake_id", F.concat(F.lit("lake "), F.col("lake_id").cast("string")).alias("reservoir_name"))
     readings, registry = SG.assemble(t.spark, files, lakes)
-    out = readings.join(registry.select("lake_id", "tolerance"), "lake_id").filter("lake_id % 13 <> 5")
+    out = readings.join(registry.select("lake_id", "tolerance"), "lake_id")
     return out.select("lake_id", "gauge_source", r(C.timestamp_to_seconds(F.col("gauge_datetime"))).alias("gauge_time"), r("gauge_wse").alias("gauge_wse"), "tolerance")
 
 

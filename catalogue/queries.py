@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from stillwater.config import Bounds, DAY, FilterConfig, Grouping, LENIENT, STRICT, ValidationConfig
 from stillwater.functions import columns as C
-from stillwater.functions.quantiles import grouped_quantiles, heavy_keys
+from stillwater.functions.quantiles import grouped_quantiles
 from stillwater.operators import asof, cycles, daily, grid as G, metrics as M, prep, screens, smoothers
 from stillwater.operators import thresholds as T
 from stillwater.plans import filtering, summaries as X, validation as V
-from stillwater.session import configure, cut, heavy_rows_limit
+from stillwater.session import configure, cut
 from stillwater.sources import gauges as SG, tables
 from stillwater.sources.fixed import CYCLE_START
 from catalogue import duck
@@ -75,21 +75,6 @@ class Tables:
     def u(self):
         return self._once("u", lambda: prep.distinct_times(self.stored))
 
-    @property
-    def heavy(self):
-        """Series above the heavy-row limit, from a one-column scan."""
-        return self._once(
-            "heavy", lambda: heavy_keys(tables.table(self.spark, self.dir, "lineitem"), "l_suppkey"))
-
-    @property
-    def many_lakes(self):
-        """[] while the per-lake tables are below the limit, else None (look up)."""
-        def check():
-            n = tables.table(self.spark, self.dir, "supplier").limit(heavy_rows_limit(self.spark) + 1).count()
-            return [] if n <= heavy_rows_limit(self.spark) else None
-
-        return self._once("many", check)
-
     @property
     def thr(self):
         return self._once("thr", lambda: cut(T.calibrate(self.u)))
@@ -120,7 +105,7 @@ class Tables:
     def labelled(self):
         """All rows labelled by the Tukey fallback (no cycle correction)."""
         def make():
-            t = screens.tukey_fallback(self.u, heavy=self.heavy)
+            t = screens.tukey_fallback(self.u)
             kept = t.select(KEY, "index_col", F.col("wse").alias("wse_adjusted"), F.lit(1).alias("filter_flag"), "n_steps")
             done = t.select(KEY).distinct().withColumn("__ok", F.lit(True))
             out = self.stored.join(kept, [KEY, "index_col"], "left").join(done, KEY, "left")
@@ -135,12 +120,12 @@ class Tables:
 
     @property
     def scored(self):
-        return self._once("scored", lambda: cut(V.scored_rows(self.labelled, self.gauge, self.tolerance, self.heavy)))
+        return self._once("scored", lambda: cut(V.scored_rows(self.labelled, self.gauge, self.tolerance)))
 
     @property
     def stats(self):
         return self._once(
-            "stats", lambda: cut(V.lake_stats(self.labelled, self.gauge, self.registry, self.tolerance, VCFG, self.heavy)))
+            "stats", lambda: cut(V.lake_stats(self.labelled, self.gauge, self.registry, self.tolerance, VCFG)))
 
 
 # ------------------------------------------------------------ preparation
@@ -281,18 +266,18 @@ def threshold_summary(t):
  select u.*, ql - 3e0 * (qh - ql) as lo, qh + 3e0 * (qh - ql) as hi from u join (select lake_id, quantile_cont(wse, 0.25) ql,
  quantile_cont(wse, 0.75) qh from u group by 1) q using (lake_id)) where wse >= lo and wse <= hi"""))
 def tukey_once(t):
-    return rounded(screens.remove_tukey(t.u, heavy=t.heavy), [KEY, "index_col"], ["lower_bound", "upper_bound"])
+    return rounded(screens.remove_tukey(t.u), [KEY, "index_col"], ["lower_bound", "upper_bound"])
 
 
 @register(sql("u", body=f"""select lake_id, index_col, {r6('m')} as series_median from u join (select lake_id,
  quantile_cont(wse, 0.5) m from u group by 1) q using (lake_id) where abs(wse - m) <= 10"""))
 def median_distance(t):
-    return rounded(screens.near_median(t.u, max_distance=10.0, heavy=t.heavy), [KEY, "index_col"], ["series_median"])
+    return rounded(screens.near_median(t.u, max_distance=10.0), [KEY, "index_col"], ["series_median"])
 
 
 @register(sql("w5", body=f"select lake_id, index_col, {r6('wse')} as wse, n_steps from w5"))
 def tukey_fallback(t):
-    out = screens.tukey_fallback(t.u, heavy=t.heavy)
+    out = screens.tukey_fallback(t.u)
     return out.select(KEY, "index_col", r("wse").alias("wse"), "n_steps")
 
 
@@ -326,17 +311,17 @@ def _ice_sql(by_pass, by_version, m, lo, hi, used, filt):
 
 @register(_ice_sql(True, True, "2e-1", 0.25, 0.75, "both", "both"))
 def ice_screen_pass_version(t):
-    return screens.screen_ice(t.u, True, True, 0.2, 0.25, 0.75, "both", "both", t.heavy).select(KEY, "index_col")
+    return screens.screen_ice(t.u, True, True, 0.2, 0.25, 0.75, "both", "both").select(KEY, "index_col")
 
 
 @register(_ice_sql(True, False, "3e-1", 0, 1, "upper", "both"))
 def ice_screen_pass(t):
-    return screens.screen_ice(t.u, True, False, 0.3, 0, 1, "upper", "both", t.heavy).select(KEY, "index_col")
+    return screens.screen_ice(t.u, True, False, 0.3, 0, 1, "upper", "both").select(KEY, "index_col")
 
 
 @register(_ice_sql(False, False, "2e-1", 0.1, 0.9, "upper", "wse"))
 def ice_screen_all(t):
-    return screens.screen_ice(t.u, False, False, 0.2, 0.1, 0.9, "upper", "wse", t.heavy).select(KEY, "index_col")
+    return screens.screen_ice(t.u, False, False, 0.2, 0.1, 0.9, "upper", "wse").select(KEY, "index_col")
 
 
 @register(sql("u", "bs", body="""select lake_id, index_col from (select a.*, b.time as nt from (select u.lake_id, u.index_col, u.time,
@@ -364,7 +349,7 @@ def support_check(t):
 @register(sql("u", body=f"""select lake_id, {r6('max_gap')} as max_gap, {r6('median_gap')} as median_gap from ({_COV.format(src='u')})"""))
 def gap_stats(t):
     g = asof.series_gaps(t.u, KEY, "time")
-    q = grouped_quantiles(g, [KEY], "gap_seconds", [0.5], ["median_gap"], [F.max("gap_seconds").alias("max_gap")], t.heavy)
+    q = grouped_quantiles(g, [KEY], "gap_seconds", [0.5], ["median_gap"], [F.max("gap_seconds").alias("max_gap")])
     return rounded(q, [KEY], ["max_gap", "median_gap"])
 
 
@@ -454,7 +439,7 @@ _BIAS = """select d.*, wse - b as adj from (select *, wse - avg(wse) over (parti
 
 @register(sql("u", body=f"select lake_id, cycle_id, {r6('m')} as wse_cycle_avg, {r6('mid')} as mid_time from ({_CYC})"))
 def cycle_mean(t):
-    return rounded(cycles.cycle_means(t.u, t.heavy), [KEY, "cycle_id"], ["wse_cycle_avg", "mid_time"])
+    return rounded(cycles.cycle_means(t.u), [KEY, "cycle_id"], ["wse_cycle_avg", "mid_time"])
 
 
 @register(sql("u", body=f"select lake_id, {r6('intra_std')} as intra_std, {r6('inter_std')} as inter_std, apply from ({_GATE})"))
@@ -465,7 +450,7 @@ def cycle_gate(t):
 @register(sql("u", body=f"""select lake_id, pass_id, {r6('a')} as median_area from (select *, row_number() over (partition by lake_id
  order by a desc nulls last, pass_id) as rr from (select lake_id, pass_id, quantile_cont(area_total, 0.5) as a from u group by 1, 2)) where rr = 1"""))
 def best_pass(t):
-    return rounded(cycles.best_pass(t.u, t.heavy), [KEY, "pass_id"], ["median_area"])
+    return rounded(cycles.best_pass(t.u), [KEY, "pass_id"], ["median_area"])
 
 
 _ADJUST = f"""with g as ({_GATE}), b as ({_BIAS}), on_ as (select b.* from b join g using (lake_id) where apply),
@@ -476,14 +461,14 @@ _ADJUST = f"""with g as ({_GATE}), b as ({_BIAS}), on_ as (select b.* from b joi
 
 @register(sql("u", body=f"select lake_id, index_col, {r6('wse_adjusted')} as wse_adjusted from ({_ADJUST})"))
 def pass_bias_adjust(t):
-    return rounded(cycles.adjust_cycles(t.u, t.heavy)[2], [KEY, "index_col"], ["wse_adjusted"])
+    return rounded(cycles.adjust_cycles(t.u)[2], [KEY, "index_col"], ["wse_adjusted"])
 
 
 @register(sql("u", body=f"""select lake_id, index_col, {r6('wse')} as wse_adjusted from u join ({_GATE}) g using (lake_id)
  left join (select lake_id, arg_min(pass_id, (-a, pass_id)) as bp from (select lake_id, pass_id, quantile_cont(area_total, 0.5) as a from u group by 1, 2)
  group by 1) b using (lake_id) where not apply or pass_id = bp"""))
 def best_pass_rows(t):
-    return rounded(cycles.adjust_cycles(t.u, t.heavy)[1], [KEY, "index_col"], ["wse_adjusted"])
+    return rounded(cycles.adjust_cycles(t.u)[1], [KEY, "index_col"], ["wse_adjusted"])
 
 
 # ------------------------------------------------------ grids and smoothers
@@ -575,7 +560,7 @@ def round1_step(t):
     f = filtering.flagged_rows(t.u, t.thr, cfg).filter("ok_strict")
     f = f.select(*filtering._ROW).withColumn("attempt", F.lit(1)).withColumn("round", F.lit(1))
     f = f.withColumn("minfrac_frozen", F.lit(False)).withColumn("is_base", F.col("clean"))
-    return filtering.filter_step(f, cfg, t.heavy)[0]
+    return filtering.filter_step(f, cfg)
 
 
 def _curve_query(kind):
@@ -597,13 +582,13 @@ def spline_curve(t):
     return rounded(smoothers.spline(b, b), [KEY, "index_col", "spline_ok"], ["smooth"])
 
 
-@register()
+@register(sql("lo0", "lo1", body=duck.LOWESS_SQL))
 def lowess_curve(t):
     b = t.baseline.select(KEY, "index_col", "time", "wse", F.lit(True).alias("is_base"), F.lit(True).alias("is_eval"))
-    return rounded(smoothers.lowess(b, heavy=t.heavy), [KEY, "index_col"], ["bottom", "top", "residual"])
+    return rounded(smoothers.lowess(b), [KEY, "index_col"], ["bottom", "top", "residual"])
 
 
-@register()
+@register(sql("sweep", body=duck.SWEEP_SQL))
 def savgol_sweep(t):
     b = t.baseline.select(KEY, "index_col", "time", "wse")
     s = smoothers.sweep(b, b, "savgol")
@@ -614,7 +599,7 @@ def savgol_sweep(t):
 # --------------------------------------------------------------- workflow
 @register()
 def filter_hierarchy(t):
-    o = filtering.run_filter(t.stored, heavy=t.heavy)["observations"]
+    o = filtering.run_filter(t.stored)["observations"]
     return o.select(KEY, "index_col", "filter_flag", r("wse_adjusted").alias("wse_adjusted"), "filter_attempt",
                     "n_while", "n_while_r2", "intra_cycle_flag")
 
@@ -622,13 +607,13 @@ def filter_hierarchy(t):
 @register()
 def filter_strict(t):
     rows = filtering.flagged_rows(t.u, t.thr, FilterConfig()).withColumn("ok_lenient", F.lit(False))
-    return filtering.low_pass(rows, FilterConfig(), t.heavy)
+    return filtering.low_pass(rows, FilterConfig())
 
 
 @register(sql("ok", body="select lake_id, index_col, case when passes then 1 else 0 end as filter_flag, '1_strict' as filter_attempt from ok"))
 def filter_threshold_only(t):
     cfg = FilterConfig(apply_low_pass=False, adjust_cycles=False)
-    o = filtering.run_filter(t.stored, cfg, heavy=t.heavy)["observations"]
+    o = filtering.run_filter(t.stored, cfg)["observations"]
     return o.filter("is_first").select(KEY, "index_col", "filter_flag", "filter_attempt")
 
 
@@ -666,12 +651,12 @@ def daily_interp(t):
 @register(sql("offs", body=f"select lake_id, {r6('bias')} as bias from offs"))
 def datum_offset(t):
     m = V.match_gauges(t.labelled, t.gauge, t.tolerance)
-    return rounded(M.datum_offset(m, t.heavy), [KEY], ["bias"])
+    return rounded(M.datum_offset(m), [KEY], ["bias"])
 
 
 @register(sql("errs", body=f"select lake_id, method, n_match, n_used, {r6('mae')} as mae, {r6('median_error')} as median_error from errs"))
 def mae_by_method(t):
-    return rounded(V.method_errors(t.scored, VCFG, t.heavy), [KEY, "method", "n_match", "n_used"], ["mae", "median_error"])
+    return rounded(V.method_errors(t.scored, VCFG), [KEY, "method", "n_match", "n_used"], ["mae", "median_error"])
 
 
 _VAR = [f"{v}_{s}" for s in [s for _, s, _ in METH] + ["gauge"] for v in ("std", "amp", "idr")]
@@ -722,27 +707,54 @@ def lake_stats(t):
 
 
 # -------------------------------------------------------------- summaries
-# A registry that also lists lakes nobody observed, and lakes without any gauge reading.
-_MORE_SQL = "(select * from registry union all select lake_id + 1000000, gauge_source, priority from registry where lake_id % 9 = 0)"
+# The registry also lists lakes that nobody observed, that were observed 10,000 days after any gauge
+# reading, that have one row and that have no usable value.
+_UNSEEN, _LATE, _ONCE, _ROUGH = 1000000, 2000000, 3000000, 4000000
+_MORE_SQL = "(select * from registry" + "".join(
+    f" union all select lake_id + {n}, gauge_source, priority from registry where lake_id % 9 = {i}"
+    for i, n in enumerate((_UNSEEN, _LATE, _ONCE, _ROUGH))) + ")"
 _BAD_SQL = f"""select r.lake_id, n is null as no_data, coalesce(n = 0, false) as no_gauge_joined, coalesce(n < 2, false) as few_pairs
- from (select distinct lake_id from {_MORE_SQL}) r left join (select lake_id, count(case when lake_id % 4 <> 1 then gauge_wse end) as n
- from matched group by 1) m on m.lake_id = r.lake_id where n is null or n < 2"""
+ from (select distinct lake_id from {_MORE_SQL}) r left join (
+  select lake_id, count(gauge_wse) as n from matched group by 1
+  union all select lake_id + {_LATE}, 0 from matched group by 1
+  union all select lake_id + {_ONCE}, count(gauge_wse) from matched where index_col = 0 group by 1) m
+ on m.lake_id = r.lake_id where n is null or n < 2"""
+
+
+def _shifted(df, n):
+    return df.withColumn(KEY, F.col(KEY) + n)
 
 
 def _more_lakes(t):
-    unseen = t.registry.filter("lake_id % 9 = 0").withColumn("lake_id", F.col("lake_id") + 1000000)
-    return t.registry.unionByName(unseen)
+    out = t.registry
+    for i, n in enumerate((_UNSEEN, _LATE, _ONCE, _ROUGH)):
+        out = out.unionByName(_shifted(t.registry.filter(F.col(KEY) % 9 == i), n))
+    return out
 
 
-def _invalid(t):
-    return X.invalid_lakes(_more_lakes(t), V.match_gauges(t.p, t.gauge.filter("lake_id % 4 <> 1"), t.tolerance))
+def _more_raw(t):
+    late = _shifted(t.raw.filter(F.col(KEY) % 9 == 1), _LATE).withColumn("time", F.col("time") + 1e4 * DAY)
+    rough = _shifted(t.raw.filter(F.col(KEY) % 9 == 3), _ROUGH).withColumn("wse", F.lit(C.FILL_VALUE))
+    return t.raw.unionByName(late).unionByName(rough)
 
 
-@register(sql("u", "thr", "registry", body=f"""select lake_id, 'observations' as missing_in from {_MORE_SQL} where lake_id not in (select l_suppkey from lineitem)
- union all select lake_id, 'series' from {_MORE_SQL} where lake_id not in (select lake_id from u where lake_id % 10 <> 3)
- union all select lake_id, 'thresholds' from {_MORE_SQL} where lake_id not in (select lake_id from thr where lake_id % 11 <> 4)"""))
+def _invalid(t):
+    rows = prep.prepare(_more_raw(t), tables.ARRIVAL)
+    once = _shifted(t.stored.filter((F.col(KEY) % 9 == 2) & (F.col("index_col") == 0)), _ONCE)
+    gauge, tolerance = t.gauge, t.tolerance
+    for n in (_LATE, _ONCE):
+        gauge, tolerance = gauge.unionByName(_shifted(t.gauge, n)), tolerance.unionByName(_shifted(t.tolerance, n))
+    return X.invalid_lakes(_more_lakes(t), V.match_gauges(rows.unionByName(once), gauge, tolerance))
+
+
+@register(sql("u", "thr", "registry", body=f"""select lake_id, 'observations' as missing_in from {_MORE_SQL} where lake_id not in (
+  select l_suppkey from lineitem union all select l_suppkey + {_LATE} from lineitem union all select l_suppkey + {_ROUGH} from lineitem)
+ union all select lake_id, 'series' from {_MORE_SQL} where lake_id not in (select lake_id from u union all select lake_id + {_LATE} from u)
+ union all select lake_id, 'thresholds' from {_MORE_SQL} where lake_id not in (select lake_id from thr union all select lake_id + {_LATE} from thr)"""))
 def coverage_sets(t):
-    return X.coverage_sets(_more_lakes(t), t.raw, t.stored.filter("lake_id % 10 <> 3"), t.thr.filter("lake_id % 11 <> 4"))
+    raw = _more_raw(t)
+    series = prep.distinct_times(prep.prepare(raw, tables.ARRIVAL))
+    return X.coverage_sets(_more_lakes(t), raw, series, T.calibrate(series))
 
 
 @register(sql("matched", "registry", body=_BAD_SQL))
@@ -809,7 +821,7 @@ duck.CTE["nv"] = "select vs.lake_area, ml.lake_id, substr(metric, 5) as statisti
  {r6('quantile_cont(value, 0.75)')} as p75, {r6("case when metric in ('correlation', 'retention') then quantile_cont(value, 0.3173) else quantile_cont(value, 0.6827) end")} as p_summary
  from ml group by 1, 2"""))
 def percentile_summary(t):
-    s = X.percentile_summary(X.metric_long(_valid_stats(t)), VCFG, t.many_lakes)
+    s = X.percentile_summary(X.metric_long(_valid_stats(t)), VCFG)
     return rounded(s, ["metric", "method", "n"], ["p25", "p50", "p75", "p_summary"])
 
 
@@ -824,7 +836,7 @@ def ecdf_by_method(t):
  select sqrt(greatest(0, ((abs({v}_filtered - {v}_gauge) / {v}_filtered) ** 2) - ((abs({v}_retained - {v}_gauge) / {v}_filtered) ** 2))) as x from vs
  where {v}_filtered > 0 and {v}_gauge is not null and {v}_retained is not null) having count(*) > 0""" for v in ("std", "amp", "idr"))))
 def extra_residual(t):
-    return rounded(X.extra_residual(_valid_stats(t), VCFG, t.many_lakes), ["statistic", "n"], ["p_summary"])
+    return rounded(X.extra_residual(_valid_stats(t), VCFG), ["statistic", "n"], ["p_summary"])
 
 
 @register(sql("nv", body=f"select lake_id, statistic, method, {r6('rel_err')} as rel_err from nv"))
@@ -837,7 +849,7 @@ def norm_variability(t):
  {r6('quantile_cont(rel_err, 0.6827)')} as p_summary, {r6('quantile_cont(rel_err, 0.9)')} as p90 from nv group by 1, 2"""))
 def norm_variability_summary(t):
     n = X.norm_variability(_valid_stats(t)).filter(F.col("rel_err").isNotNull())
-    s = X.variability_summary(n, ["statistic", "method"], VCFG, t.many_lakes)
+    s = X.variability_summary(n, ["statistic", "method"], VCFG)
     return rounded(s, ["statistic", "method", "n"], ["mean", "median", "p_summary", "p90"])
 
 
@@ -850,7 +862,7 @@ _FIXBIN = """case when lake_area >= 0 and lake_area <= 0.1 then '<=0.1' when lak
  {r6('quantile_cont(rel_err, 0.6827)')} as p_summary from nv where method = 'filtered' group by 1, 2"""))
 def area_bin_summary(t):
     n = X.norm_variability(_valid_stats(t)).filter(F.col("rel_err").isNotNull() & (F.col("method") == "filtered"))
-    s = X.variability_summary(X.with_area_bins(n), ["area_bin", "statistic"], VCFG, t.many_lakes)
+    s = X.variability_summary(X.with_area_bins(n), ["area_bin", "statistic"], VCFG)
     return rounded(s, ["area_bin", "statistic", "n"], ["median", "mean", "p_summary"])
 
 
@@ -863,7 +875,7 @@ def area_bin_summary(t):
  select *, quantile_cont(es, 0.5) over (partition by area_bin) ms, quantile_cont(ef, 0.5) over (partition by area_bin) mf from b where area_bin is not null)
  where ms is not null and mf is not null group by area_bin, ms, mf"""))
 def area_bin_reduction(t):
-    x = X.area_bin_reduction(_valid_stats(t), t.many_lakes)
+    x = X.area_bin_reduction(_valid_stats(t))
     return rounded(x, ["area_bin", "n_lakes"], ["median_stringent", "median_filtered", "reduction_pct"])
 
 
@@ -892,7 +904,7 @@ def retention_by_cycle(t):
  from lab where cycle_id between 1 and 32 group by 1, 2) group by 1"""))
 def box_stats(t):
     x = X.retention_by_cycle(C.benchmark_columns(t.labelled), VCFG)
-    return rounded(X.box_stats(x, ["cycle_id"], "ret_filtered", t.many_lakes), ["cycle_id", "n"], ["p5", "p25", "p50", "p75", "p95"])
+    return rounded(X.box_stats(x, ["cycle_id"], "ret_filtered"), ["cycle_id", "n"], ["p5", "p25", "p50", "p75", "p95"])
 
 
 duck.CTE["elong"] = """select *, 'Ice-free' as ice_cond from mlong where ice_clim_f < 1 union all select *, 'Ice-covered' from mlong where ice_clim_f >= 1
@@ -905,14 +917,14 @@ duck.CTE["eice"] = f"""select f.lake_id, f.method, f.ice_cond, coalesce(n_match,
 
 @register(sql("eice", body=f"select lake_id, method, ice_cond, n_match, n_used, {r6('mae')} as mae, {r6('median_error')} as median_error, {r6('rel_err')} as rel_err from eice"))
 def error_by_ice(t):
-    e = X.error_by_ice(t.scored, VCFG, t.heavy)
+    e = X.error_by_ice(t.scored, VCFG)
     return rounded(e, [KEY, "method", "ice_cond", "n_match", "n_used"], ["mae", "median_error", "rel_err"])
 
 
 @register(sql("eice", body=f"""select ice_cond, method, metric, count(v) as n, {r6('quantile_cont(v, 0.5)')} as p50, {r6('quantile_cont(v, 0.6827)')} as p_summary from (
  select ice_cond, method, 'mae' as metric, mae as v from eice union all select ice_cond, method, 'rel_err', rel_err from eice) group by 1, 2, 3"""))
 def error_by_ice_summary(t):
-    s = X.error_by_ice_summary(X.error_by_ice(t.scored, VCFG, t.heavy), VCFG, t.many_lakes)
+    s = X.error_by_ice_summary(X.error_by_ice(t.scored, VCFG), VCFG)
     return rounded(s, ["ice_cond", "method", "metric", "n"], ["p50", "p_summary"])
 
 
@@ -920,14 +932,14 @@ def error_by_ice_summary(t):
  (p_lon + 180e0) - 360e0 * floor((p_lon + 180e0) / 360e0) - 180e0 as p_lon from p where p_ref_area > 0) q using (lake_id) where mae_filtered is not null)
  select lake_id, {r6('v')} as mae_filtered, {r6('p_lat')} as p_lat, {r6('p_lon')} as p_lon, {r6('(select quantile_cont(abs(v), 0.95) from d)')} as colour_limit from d"""))
 def geo_table(t):
-    g = X.geo_table(t.stats, X.lake_dimension(t.stored), "mae_filtered", t.many_lakes)
+    g = X.geo_table(t.stats, X.lake_dimension(t.stored), "mae_filtered")
     return rounded(g, [KEY], ["mae_filtered", "p_lat", "p_lon", "colour_limit"])
 
 
 @register(sql("p", body=f"""select count(*) as n_lakes, {r6('min(a)')} as min_area, {r6('max(a)')} as max_area, {r6('quantile_cont(a, 0.5)')} as median_area,
  {r6('avg(a)')} as mean_area from (select lake_id, any_value(p_ref_area) as a from p group by 1)"""))
 def area_stats(t):
-    return rounded(X.area_stats(X.lake_dimension(t.p), t.many_lakes), ["n_lakes"], ["min_area", "max_area", "median_area", "mean_area"])
+    return rounded(X.area_stats(X.lake_dimension(t.p)), ["n_lakes"], ["min_area", "max_area", "median_area", "mean_area"])
 
 
 def _masked(t):
@@ -973,7 +985,7 @@ def _traced(rows, names, used):
 def filter_trace(t):
     """W8 in threshold-only mode: trace of the strict attempt, blank on repeated times."""
     cfg = FilterConfig(apply_low_pass=False, adjust_cycles=False, append_trace=True)
-    o = filtering.run_filter(t.stored, cfg, heavy=t.heavy)["observations"]
+    o = filtering.run_filter(t.stored, cfg)["observations"]
     return rounded(o, [KEY, "index_col", *_SOURCE], _TRACE)
 
 
@@ -991,7 +1003,7 @@ def fallback_trace(t):
  using (lake_id, crid_scenario, pass_id, ice_condition)"""))
 def attempt_summary(t):
     """The threshold table with the attempt that used it."""
-    s = filtering.run_filter(t.stored, FilterConfig(apply_low_pass=False, adjust_cycles=False), heavy=t.heavy)["threshold_summary"]
+    s = filtering.run_filter(t.stored, FilterConfig(apply_low_pass=False, adjust_cycles=False))["threshold_summary"]
     return rounded(s, [*_CALROW, "filter_attempt"], _CAL + ["wse_std_thr_bound", "wse_u_thr_bound", "xtrk_dist_thr_bound"])
 
 
@@ -999,7 +1011,7 @@ def attempt_summary(t):
  {r6('row_number() over (partition by ice_cond, method order by mae, lake_id) * 100e0 / count(*) over (partition by ice_cond, method)')} as pct
  from eice where mae is not null"""))
 def ecdf_by_ice(t):
-    e = X.error_by_ice(t.scored, VCFG, t.heavy).withColumnRenamed("mae", "value")
+    e = X.error_by_ice(t.scored, VCFG).withColumnRenamed("mae", "value")
     return rounded(X.ecdf(e, ["ice_cond", "method"], "value"), ["ice_cond", "method", KEY], ["value", "pct"])
 
 
@@ -1007,7 +1019,7 @@ def ecdf_by_ice(t):
  round(quantile_cont(reduction_pct, 0.5), 5) as median_reduction from ({ORACLE["area_bin_reduction"]})""")
 def reduction_range(t):
     """The reductions of the bins in one row."""
-    x = rounded(X.area_bin_reduction(_valid_stats(t), t.many_lakes), ["area_bin"], ["reduction_pct"])
+    x = rounded(X.area_bin_reduction(_valid_stats(t)), ["area_bin"], ["reduction_pct"])
     m = X.reduction_range(x)
     return m.select("min_reduction", "max_reduction", F.round("median_reduction", 5).alias("median_reduction"))
 

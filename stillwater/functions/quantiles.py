@@ -1,9 +1,10 @@
-"""Exact linear-interpolated quantiles per group, safe for very large groups.
+"""Exact linear-interpolated quantiles per group in bounded memory, one form for every size.
 
-A group of ordinary size uses Spark's exact ``percentile``, whose buffer holds
-the group's distinct values. A group above the heavy-row limit is handled in
-bounded memory: a mergeable sketch brackets each wanted rank, values inside
-the bracket are collapsed to (value, count) and only those are ranked.
+A mergeable sketch brackets each wanted rank. Values outside all brackets are only counted,
+by how many brackets lie below them; values inside collapse to (value, count). What is
+ranked per group is therefore about ``4 / SKETCH_ACCURACY`` of its rows, or all of a group
+of fewer than ``2 * SKETCH_ACCURACY`` rows, whose brackets are its extremes. A rank outside
+its bracket raises instead of giving a wrong value.
 """
 
 from __future__ import annotations
@@ -12,29 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import heavy_rows_limit
-
 SKETCH_ACCURACY = 100_000
-ALL = ["*"]  # every row of the input belongs to a heavy group
-
-
-def heavy_keys(df: DataFrame, key: str, limit: int | None = None) -> list:
-    """Key values holding more than ``limit`` rows.
-
-    The answer has at most rows/limit entries, so it is safe on the driver;
-    the job reads one column and counts with map-side combine.
-    """
-    limit = limit or heavy_rows_limit(df.sparkSession)
-    rows = df.groupBy(key).count().filter(F.col("count") > limit).select(key).collect()
-    return [r[0] for r in rows]
-
-
-def is_heavy(key: Column, heavy: list) -> Column:
-    """Membership test that treats a NULL key as a group of its own."""
-    plain = [h for h in heavy if h is not None]
-    cond = key.isin(plain) if plain else F.lit(False)
-    cond = F.coalesce(cond, F.lit(False))
-    return (cond | key.isNull()) if None in heavy else cond
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -44,125 +23,70 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(tmp, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _plain(df, keys, value, probs, names, aggs):
-    p = F.percentile(F.col(value), F.array(*[F.lit(float(q)) for q in probs]))
-    out = df.groupBy(*keys).agg(p.alias("__p"), *aggs)
-    cols = [F.col("__p")[i].alias(n) for i, n in enumerate(names)]
-    rest = [F.col(c) for c in out.columns if c not in set(keys) | {"__p"}]
-    return out.select(*keys, *cols, *rest)
-
-
-def _narrowed(df, keys, value, probs, names, aggs):
-    """Bounded-memory exact quantiles: sketch, bracket, rank inside the bracket.
-
-    The bracket is wider than the sketch error by at least four ranks; groups
-    too small for that (below the limit by construction) are ranked whole.
-    """
-    eps = max(2.0 / SKETCH_ACCURACY, 4.0 / heavy_rows_limit(df.sparkSession))
-    v = F.col(value)
-    edge_probs = [x for q in probs for x in (max(0.0, q - eps), min(1.0, q + eps))]
+def _brackets(df, keys, v, probs, aggs):
+    """Per group: row count, extra aggregates and the bracket of every rank."""
+    eps = 2.0 / SKETCH_ACCURACY
+    edges = [x for q in probs for x in (max(0.0, q - eps), min(1.0, q + eps))]
     base = df.groupBy(*keys).agg(
-        F.count(v).alias("__n"),
-        F.min(v).alias("__min"),
-        F.max(v).alias("__max"),
-        F.percentile_approx(v, F.array(*[F.lit(x) for x in edge_probs]), F.lit(SKETCH_ACCURACY)).alias("__e"),
-        *aggs,
+        F.count(v).alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max"),
+        F.percentile_approx(v, F.array(*[F.lit(x) for x in edges]), F.lit(SKETCH_ACCURACY)).alias("__e"), *aggs,
     )
-    targets, whole = [], F.col("__n") * F.lit(eps) < 4
+    whole = F.col("__n") * F.lit(eps) < 4  # too few rows for a bracket wider than the sketch's error
+    ends = {}
     for i, q in enumerate(probs):
-        lo = F.when(whole | F.lit(q - eps <= 0), F.col("__min")).otherwise(F.col("__e")[2 * i])
-        hi = F.when(whole | F.lit(q + eps >= 1), F.col("__max")).otherwise(F.col("__e")[2 * i + 1])
-        targets.append(
-            F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("__n") - 1)).alias("pos"), lo.alias("lo"), hi.alias("hi"))
-        )
-    want = base.select(*keys, F.explode(F.array(*targets)).alias("t")).select(*keys, "t.*")
-    # without keys `want` has one row per wanted quantile
-    # copies of a value collapse to one counted row before anything is ranked
-    counted = df.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    joined = null_safe_join(counted, want, keys, "inner") if keys else counted.crossJoin(F.broadcast(want))
-    below = joined.groupBy(*keys, "i", "pos").agg(
-        F.sum(F.when(v < F.col("lo"), F.col("__c")).otherwise(0)).alias("__below")
-    )
-    inside = joined.filter((v >= F.col("lo")) & (v <= F.col("hi"))).select(*keys, "i", value, "__c")
-    ranked = inside.withColumn(
-        "__cum", F.sum("__c").over(W.partitionBy(*keys, "i").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    )
-    j = null_safe_join(ranked, below, keys + ["i"], "inner")
-    first = F.col("__below") + F.col("__cum") - F.col("__c")
-    last = F.col("__below") + F.col("__cum") - 1
-    lo_rank, hi_rank = F.floor("pos"), F.ceil("pos")
-    picked = j.groupBy(*keys, "i", "pos").agg(
-        F.max(F.when((first <= lo_rank) & (lo_rank <= last), v)).alias("a"),
-        F.max(F.when((first <= hi_rank) & (hi_rank <= last), v)).alias("b"),
-    )
-    checked = F.when(
-        F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("quantile rank left its bracket"))
-    ).otherwise(
-        F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
-            (F.ceil("pos") - F.col("pos")) * F.col("a") + (F.col("pos") - F.floor("pos")) * F.col("b")
-        )
-    )
-    q = picked.select(*keys, "i", checked.cast("double").alias("x"))
-    wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(n) for i, n in enumerate(names)])
-    extra = base.drop("__n", "__min", "__max", "__e")
-    out = null_safe_join(extra, wide, keys, "left") if keys else extra.crossJoin(wide)
-    rest = [c for c in extra.columns if c not in keys]
-    return out.select(*keys, *names, *rest)
+        ends[f"__lo{i}"] = F.when(whole | F.lit(q - eps <= 0), F.col("__min")).otherwise(F.col("__e")[2 * i])
+        ends[f"__hi{i}"] = F.when(whole | F.lit(q + eps >= 1), F.col("__max")).otherwise(F.col("__e")[2 * i + 1])
+    return base.withColumns(ends).drop("__min", "__max", "__e")
 
 
 def grouped_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: list[float],
-    names: list[str],
-    aggs: list[Column] = (),
-    heavy: list | None = None,
+    df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], aggs: list[Column] = (),
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per ``keys`` (NULL values are skipped).
+    """Exact quantiles of ``value`` per ``keys`` (NULL values are skipped, NULL keys are a group).
 
-    ``heavy`` lists the values of ``keys[0]`` whose rows exceed the limit; when
-    None it is looked up; ``ALL`` says every row does. Extra aggregates may be computed alongside.
+    Extra aggregates may be computed alongside. Without keys there is one row.
     """
     if any(not 0 <= q <= 1 for q in probs):
         raise ValueError("quantiles must be between 0 and 1")
-    aggs = list(aggs)
     if not keys:
-        if heavy is None:
-            limit = heavy_rows_limit(df.sparkSession)
-            heavy = [None] if df.select(value).limit(limit + 1).count() > limit else []
-        return (_narrowed if heavy else _plain)(df, [], value, probs, names, aggs)
-    if heavy is None:
-        heavy = heavy_keys(df, keys[0])
-    if not heavy:
-        return _plain(df, keys, value, probs, names, aggs)
-    if heavy == ALL:
-        return _narrowed(df, keys, value, probs, names, aggs)
-    hot = is_heavy(F.col(keys[0]), heavy)
-    return _plain(df.filter(~hot), keys, value, probs, names, aggs).unionByName(
-        _narrowed(df.filter(hot), keys, value, probs, names, aggs)
-    )
-
-
-def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column], aggs=(), heavy=None) -> DataFrame:
-    """Exact medians of several expressions per group in one pass (heavy groups
-    go through the long form and the narrowing path)."""
-    aggs = list(aggs)
-    if heavy is None:
-        heavy = heavy_keys(df, keys[0])
-
-    def plain(d):
-        return d.groupBy(*keys).agg(*[F.percentile(c, 0.5).alias(n) for n, c in values.items()], *aggs)
-
-    if not heavy:
-        return plain(df)
-    hot = is_heavy(F.col(keys[0]), heavy)
-    big = df.filter(hot)
+        one = grouped_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, names, aggs)
+        return one.drop("__all")
+    order = sorted(range(len(probs)), key=lambda i: probs[i])
+    probs, names_ = [probs[i] for i in order], [names[i] for i in order]
+    # one struct as the key: it matches NULL with NULL and one exchange serves the join and all that follows
+    key = F.struct(*keys).alias("__k")
+    base = _brackets(df.withColumn("__k", key), ["__k"], F.col(value), probs, list(aggs))
+    edges = [f"__{e}{i}" for i in range(len(probs)) for e in ("lo", "hi")]
+    carried = [c for c in base.columns if c not in {"__k", *edges}]  # plain columns: those can be hashed
+    v = F.col("__v")
+    j = df.select(key, F.col(value).alias("__v")).join(base.hint("shuffle_hash"), "__k")
+    lo, hi = ([F.col(f"__{e}{i}") for i in range(len(probs))] for e in ("lo", "hi"))
+    passed = sum([(h < v).cast("int") for h in hi], F.lit(0))
+    inside = reduce(lambda a, b: a | b, [(x <= v) & (v <= h) for x, h in zip(lo, hi)])
+    # values of a class that lie outside come before those inside: a NULL sorts first
+    counted = j.groupBy("__k", F.when(v.isNotNull(), passed).alias("__c"), F.when(inside, v).alias("__v")).agg(
+        F.count(v).alias("__w"), *[F.first(c).alias(c) for c in carried])
+    upto = W.partitionBy("__k").orderBy("__c", "__v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.withColumn("__last", F.sum("__w").over(upto) - 1)
+    first, picks = F.col("__last") - F.col("__w") + 1, []
+    for i, q in enumerate(probs):
+        pos = F.lit(float(q)) * (F.col("__n") - 1)
+        for end, name in ((F.floor(pos), f"__a{i}"), (F.ceil(pos), f"__b{i}")):
+            picks.append(F.max(F.when((first <= end) & (end <= F.col("__last")), v)).alias(name))
+    got = ranked.groupBy("__k").agg(*[F.first(c).alias(c) for c in carried], *picks)
+    out = {}
+    for i, (q, name) in enumerate(zip(probs, names_)):
+        pos, a, b = F.lit(float(q)) * (F.col("__n") - 1), F.col(f"__a{i}"), F.col(f"__b{i}")
+        lost = F.raise_error(F.lit("quantile rank left its bracket")).cast("double")
+        mixed = F.when(a == b, a).otherwise((F.ceil(pos) - pos) * a + (pos - F.floor(pos)) * b)
+        out[name] = F.when(F.col("__n") == 0, None).when(a.isNull() | b.isNull(), lost).otherwise(mixed.cast("double"))
+    return got.select(*[F.col(f"__k.{k}").alias(k) for k in keys], *[out[n].alias(n) for n in names], *[c for c in carried if c != "__n"])
+
+
+def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column], aggs=()) -> DataFrame:
+    """Exact medians of several expressions per group, each a group of its own."""
     entries = F.array(*[F.struct(F.lit(n).alias("__name"), c.cast("double").alias("__value")) for n, c in values.items()])
-    long = big.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
-    med = grouped_quantiles(long, keys + ["__name"], "__value", [0.5], ["__m"], (), heavy)
+    long = df.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
+    med = grouped_quantiles(long, keys + ["__name"], "__value", [0.5], ["__m"])
     wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, F.col("__m"))).alias(n) for n in values])
-    if aggs:
-        wide = null_safe_join(big.groupBy(*keys).agg(*aggs), wide, keys, "left")
-    cold = plain(df.filter(~hot))
-    return cold.unionByName(wide.select(*cold.columns))
+    return null_safe_join(df.groupBy(*keys).agg(*aggs), wide, keys, "left") if aggs else wide

@@ -59,7 +59,7 @@ def p10_p90(c) -> Column:
     return p[1] - p[0]
 
 
-def datum_offset(matched: DataFrame, heavy=None) -> DataFrame:
+def datum_offset(matched: DataFrame) -> DataFrame:
     """M8: gauge-minus-series offset per series with its five fallbacks.
 
     ``matched`` carries wse, wse_adjusted, ice_clim_f and gauge_wse.
@@ -73,7 +73,7 @@ def datum_offset(matched: DataFrame, heavy=None) -> DataFrame:
             "raw_free": F.when(free, g - raw), "raw_all": g - raw,
             "med_gauge": g, "med_adj": adj, "med_raw": raw,
         },
-        [F.count(adj).alias("n_adj")], heavy,
+        [F.count(adj).alias("n_adj")],
     )
     has = F.col("n_adj") > 0
     pick = lambda a, b: F.when(has, F.col(a)).otherwise(F.col(b))
@@ -86,8 +86,8 @@ def datum_offset(matched: DataFrame, heavy=None) -> DataFrame:
     )
 
 
-def with_corrected_gauge(matched: DataFrame, heavy=None) -> DataFrame:
-    return matched.join(datum_offset(matched, heavy), KEY, "left").withColumn(
+def with_corrected_gauge(matched: DataFrame) -> DataFrame:
+    return matched.join(datum_offset(matched), KEY, "left").withColumn(
         "gauge_corrected", F.col("gauge_wse") - F.col("bias")
     )
 
@@ -98,7 +98,7 @@ def method_long(df: DataFrame, methods: dict[str, str], keep: list[str]) -> Data
     return df.select(*keep, F.explode(entries).alias("e")).select(*keep, "e.*")
 
 
-def pair_errors(df: DataFrame, keys: list[str], cfg: ValidationConfig, value="value", ref="gauge_corrected", heavy=None):
+def pair_errors(df: DataFrame, keys: list[str], cfg: ValidationConfig, value="value", ref="gauge_corrected"):
     """M7 per group: matched pairs, pairs left after dropping zero residuals,
     MAE and median residual of those."""
     r = F.col(value) - F.col(ref)
@@ -106,7 +106,7 @@ def pair_errors(df: DataFrame, keys: list[str], cfg: ValidationConfig, value="va
     d = df.withColumn("__r", F.when(used, r))
     out = grouped_quantiles(
         d, keys, "__r", [0.5], ["median_error"],
-        [F.count(r).alias("n_match"), F.count("__r").alias("n_used"), F.avg(F.abs("__r")).alias("mae")], heavy,
+        [F.count(r).alias("n_match"), F.count("__r").alias("n_used"), F.avg(F.abs("__r")).alias("mae")],
     )
     enough = F.col("n_used") >= cfg.min_matched
     return out.select(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Attempt, DAY
 from ..functions.columns import lit_false, tukey_baseline
-from ..functions.quantiles import ALL, grouped_quantiles, heavy_keys, is_heavy, null_safe_join
+from ..functions.quantiles import grouped_quantiles, null_safe_join
 from ..session import cut
 from . import asof
 
@@ -16,10 +18,10 @@ def _check(lower_q: float, upper_q: float) -> None:
         raise ValueError("need 0 <= lower_q < upper_q <= 1")
 
 
-def tukey_bounds(df, keys, value="wse", multiplier=3.0, lower_q=0.25, upper_q=0.75, heavy=None, aggs=()):
+def tukey_bounds(df, keys, value="wse", multiplier=3.0, lower_q=0.25, upper_q=0.75, aggs=()):
     """O1 bounds per group."""
     _check(lower_q, upper_q)
-    q = grouped_quantiles(df, keys, value, [lower_q, upper_q], ["__ql", "__qh"], aggs, heavy)
+    q = grouped_quantiles(df, keys, value, [lower_q, upper_q], ["__ql", "__qh"], aggs)
     iqr = F.col("__qh") - F.col("__ql")
     m = F.lit(float(multiplier))
     return (
@@ -29,119 +31,67 @@ def tukey_bounds(df, keys, value="wse", multiplier=3.0, lower_q=0.25, upper_q=0.
     )
 
 
-def remove_tukey(df, keys=("lake_id",), value="wse", multiplier=3.0, lower_q=0.25, upper_q=0.75, heavy=None):
+def remove_tukey(df, keys=("lake_id",), value="wse", multiplier=3.0, lower_q=0.25, upper_q=0.75):
     """O1: rows inside the bounds; rows with a missing value go."""
     keys = list(keys)
-    b = tukey_bounds(df, keys, value, multiplier, lower_q, upper_q, heavy)
+    b = tukey_bounds(df, keys, value, multiplier, lower_q, upper_q)
     return null_safe_join(df, b, keys, "inner").filter(
         (F.col(value) >= F.col("lower_bound")) & (F.col(value) <= F.col("upper_bound"))
     )
 
 
-def near_median(df, keys=("lake_id",), value="wse", max_distance=150.0, heavy=None):
+def near_median(df, keys=("lake_id",), value="wse", max_distance=150.0):
     """O2: rows within ``max_distance`` of the group median (inclusive)."""
     keys = list(keys)
-    m = grouped_quantiles(df, keys, value, [0.5], ["series_median"], (), heavy)
+    m = grouped_quantiles(df, keys, value, [0.5], ["series_median"])
     return null_safe_join(df, m, keys, "inner").filter(
         F.abs(F.col(value) - F.col("series_median")) <= F.lit(float(max_distance))
     )
 
 
-def _at(arr: Column, q: float) -> Column:
-    """Linear quantile of a sorted array column."""
-    pos = F.lit(float(q)) * (F.size(arr) - 1)
-    lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
-    a, b = F.get(arr, lo), F.get(arr, hi)
-    return F.when(lo == hi, a).otherwise((hi - pos) * a + (pos - lo) * b)
-
-
-def _interval_small(df, key, value, multiplier, lower_q, upper_q, max_distance, iterations):
-    """Both screens are intervals on the value, so an iteration shrinks a sorted
-    array to a slice: one shuffle for all iterations. Series here are below
-    the heavy-row limit."""
-    m, dist = F.lit(float(multiplier)), F.lit(float(max_distance))
-    t = df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("a"))
-    t = t.withColumn("lo", F.lit(float("-inf"))).withColumn("hi", F.lit(float("inf")))
-    t = t.withColumn("n_steps", F.lit(0)).withColumn("done", F.lit(False))
-    for _ in range(iterations):
-        t = t.withColumn("ql", _at(F.col("a"), lower_q)).withColumn("qh", _at(F.col("a"), upper_q))
-        t = t.withColumn("tl", F.col("ql") - m * (F.col("qh") - F.col("ql"))).withColumn(
-            "th", F.col("qh") + m * (F.col("qh") - F.col("ql"))
-        )
-        t = t.withColumn("b", F.filter("a", lambda x: (x >= F.col("tl")) & (x <= F.col("th"))))
-        t = t.withColumn("med", _at(F.col("b"), 0.5))
-        t = t.withColumn("c", F.filter("b", lambda x: F.abs(x - F.col("med")) <= dist))
-        run = ~F.col("done")
-        t = t.select(
-            key,
-            F.when(run, F.col("c")).otherwise(F.col("a")).alias("a"),
-            F.when(run, F.greatest("lo", "tl", F.col("med") - dist)).otherwise(F.col("lo")).alias("lo"),
-            F.when(run, F.least("hi", "th", F.col("med") + dist)).otherwise(F.col("hi")).alias("hi"),
-            (F.col("n_steps") + run.cast("int")).alias("n_steps"),
-            (F.col("done") | (F.size("c") == F.size("a"))).alias("done"),
-        )
-    return t.select(key, "lo", "hi", "n_steps", F.size("a").cast("long").alias("n_kept"))
-
-
-def _interval_large(df, key, value, multiplier, lower_q, upper_q, max_distance, iterations):
-    """Same fixpoint for series above the limit, by distributed quantiles; only
-    one row per heavy series is carried between iterations."""
-    dist = float(max_distance)
-    rows = df.select(key, value).filter(F.col(value).isNotNull())
-    state = rows.groupBy(key).agg(F.count("*").alias("n_kept")).select(
-        key, F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"),
-        F.lit(0).alias("n_steps"), F.lit(False).alias("done"), "n_kept",
-    )
-    for _ in range(iterations):
-        live = rows.join(state, key).filter((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
-        carried = [F.first(c).alias(c) for c in ("lo", "hi", "n_steps", "done")] + [F.count("*").alias("n0")]
-        b = cut(tukey_bounds(live, [key], value, multiplier, lower_q, upper_q, ALL, carried))
-        inner = rows.join(b, key).filter(
-            (F.col(value) >= F.greatest("lo", "lower_bound")) & (F.col(value) <= F.least("hi", "upper_bound"))
-        )
-        carried = [F.first(c).alias(c) for c in ("lo", "hi", "n_steps", "done", "n0", "lower_bound", "upper_bound")]
-        med = cut(grouped_quantiles(inner, [key], value, [0.5], ["med"], carried, ALL))
-        run = ~F.col("done")
-        lo = F.when(run, F.greatest("lo", "lower_bound", F.col("med") - dist)).otherwise(F.col("lo"))
-        hi = F.when(run, F.least("hi", "upper_bound", F.col("med") + dist)).otherwise(F.col("hi"))
-        med = med.withColumn("lo", lo).withColumn("hi", hi)
-        left = rows.join(med, key).groupBy(key).agg(
-            F.count(F.when((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")), 1)).alias("n_kept"),
-            *[F.first(c).alias(c) for c in ("lo", "hi", "n_steps", "done", "n0")],
-        )
-        state = cut(
-            left.select(
-                key, "lo", "hi", (F.col("n_steps") + (~F.col("done")).cast("int")).alias("n_steps"),
-                (F.col("done") | (F.col("n_kept") == F.col("n0"))).alias("done"), "n_kept",
-            )
-        )
-    return state.select(key, "lo", "hi", "n_steps", "n_kept")
-
-
 def screen_interval(
-    df, key="lake_id", value="wse", multiplier=3.0, lower_q=0.1, upper_q=0.9,
-    max_distance=150.0, iterations=1, heavy=None,
+    df, key="lake_id", value="wse", multiplier=3.0, lower_q=0.1, upper_q=0.9, max_distance=150.0, iterations=1,
 ):
     """Repeated O1+O2 as one surviving interval per series:
-    (key, lo, hi, n_steps, n_kept)."""
-    _check(lower_q, upper_q)
-    args = (key, value, multiplier, lower_q, upper_q, max_distance, iterations)
-    if heavy is None:
-        heavy = heavy_keys(df, key)
-    if not heavy:
-        return _interval_small(df, *args)
-    hot = is_heavy(F.col(key), heavy)
-    return _interval_small(df.filter(~hot), *args).unionByName(
-        _interval_large(df.filter(hot), *args)
-    )
-
+    (key, lo, hi, n_steps, n_kept).
 
-def tukey_fallback(obs, multiplier=3.0, lower_q=0.25, upper_q=0.75, iterations=5, heavy=None, predicate=None):
+    Both screens are intervals on the value, so one row per series is carried from round
+    to round; a series that a round leaves as it is takes no part in the next.
+    """
+    _check(lower_q, upper_q)
+    dist = F.lit(float(max_distance))
+    rows = df.select(key, value).filter(F.col(value).isNotNull())
+    live = rows.withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf")), "n0": F.lit(None).cast("long")})
+    state, done = None, []
+    inside = lambda lo, hi: (F.col(value) >= lo) & (F.col(value) <= hi)
+    for step in range(1, iterations + 1):
+        carried = [F.first(c).alias(c) for c in ("lo", "hi", "n0")] + [F.count("*").alias("n")]
+        bounds = cut(tukey_bounds(live, [key], value, multiplier, lower_q, upper_q, carried))
+        if step > 1:  # counted now: what the round before has left
+            same = F.col("n") == F.col("n0")
+            done.append(bounds.filter(same).select(key, "lo", "hi", F.lit(step - 1).alias("n_steps"), F.col("n").alias("n_kept")))
+            bounds = bounds.filter(~same)
+            if bounds.isEmpty():
+                state = None
+                break
+        limits = bounds.select(key, F.greatest("lo", "lower_bound").alias("lo"), F.least("hi", "upper_bound").alias("hi"), "n")
+        carried = [F.first(c).alias(c) for c in ("lo", "hi", "n")]
+        inner = rows.join(limits, key).filter(inside(F.col("lo"), F.col("hi")))
+        med = grouped_quantiles(inner, [key], value, [0.5], ["med"], carried)
+        state = cut(med.select(key, F.greatest("lo", F.col("med") - dist).alias("lo"),
+                               F.least("hi", F.col("med") + dist).alias("hi"), F.col("n").alias("n0")))
+        live = rows.join(state, key).filter(inside(F.col("lo"), F.col("hi")))
+    if state is not None:
+        left = live.groupBy(key).agg(*[F.first(c).alias(c) for c in ("lo", "hi")], F.count("*").alias("n_kept"))
+        done.append(left.select(key, "lo", "hi", F.lit(iterations).alias("n_steps"), "n_kept"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def tukey_fallback(obs, multiplier=3.0, lower_q=0.25, upper_q=0.75, iterations=5, predicate=None):
     """Baseline rows that survive up to ``iterations`` rounds of O1+O2, with
     ``n_steps`` (1-based count of rounds run)."""
     base = obs.filter(tukey_baseline() if predicate is None else lit_false(predicate))
-    # written: the optimiser does not get through the join over several nested rounds
-    iv = cut(screen_interval(base, "lake_id", "wse", multiplier, lower_q, upper_q, 150.0, iterations, heavy))
+    iv = cut(screen_interval(base, "lake_id", "wse", multiplier, lower_q, upper_q, 150.0, iterations))
     return base.join(iv, "lake_id").filter((F.col("wse") >= F.col("lo")) & (F.col("wse") <= F.col("hi"))).drop(
         "lo", "hi", "n_kept"
     )
@@ -157,7 +107,7 @@ _SCREEN_LEVELS = {
 
 def screen_ice(
     obs, by_pass=True, by_version=True, multiplier=3.0, lower_q=0.25, upper_q=0.75,
-    used="upper", filter_by="both", heavy=None,
+    used="upper", filter_by="both",
 ):
     """O3: drop ice rows outside the Tukey bounds of comparable ice-free rows.
 
@@ -172,8 +122,6 @@ def screen_ice(
     levels = ["series"] + (["pass"] if by_pass else []) + (["version"] if by_version else [])
     if by_pass and by_version:
         levels.append("pass_version")
-    if heavy is None and (lower_q, upper_q) != (0, 1):
-        heavy = heavy_keys(obs, "lake_id")
     out = obs
     for level in levels:
         keys = _SCREEN_LEVELS[level]
@@ -186,7 +134,7 @@ def screen_ice(
             agg = None
             for c in values:
                 q = grouped_quantiles(free, keys, c, [lower_q, upper_q], [f"ql_{c}", f"qh_{c}"],
-                                      counts if agg is None else (), heavy)
+                                      counts if agg is None else ())
                 agg = q if agg is None else null_safe_join(agg, q, keys, "left")
         packed = agg.select(*keys, F.struct(*[c for c in agg.columns if c not in keys]).alias(f"__{level}"))
         out = null_safe_join(out, packed, keys, "left")

@@ -2,8 +2,7 @@
 
 Savitzky-Golay, running median and the smoothing cubic are Column expressions;
 wavelet, Hampel and Kalman run a small NumPy helper on the series' regular
-grid (bounded by the calendar); LOWESS needs the observations themselves and
-takes series below the heavy-row limit.
+grid (bounded by the calendar); LOWESS is in ``lowess``.
 """
 
 from __future__ import annotations
@@ -13,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..config import DAY
-from ..functions.quantiles import heavy_keys
-from . import grid as G, kernels
+from ..session import cut
+from . import grid as G, kernels, lowess as L
 
 KEY = "lake_id"
 HOUR = 3600.0
@@ -200,60 +199,30 @@ def workflow_minfrac(n, large_std_share):
 
 def lowess(
     rows: DataFrame, base_flag="is_base", eval_flag="is_eval", minfrac=0.1, maxfrac=0.5, frac_step=0.1,
-    iterations=(0, 1), time="time", value="wse", minfrac_col: str | None = None, heavy: list | None = None,
+    iterations=(0, 1), time="time", value="wse", minfrac_col: str | None = None,
 ) -> DataFrame:
     """Robust local lines over the parameter sweep. Adds ``bottom``, ``top``
-    and ``residual`` (signed, smallest size over the sweep) to eval rows.
-
-    Each point's neighbourhood is a share of its whole series, so a series must
-    fit one task; longer ones are refused rather than cut.
+    and ``residual`` (signed, smallest size over the sweep) to eval rows; NULL for
+    a series with fewer than three base rows and for a curve without weight there.
     """
-    heavy = heavy_keys(rows, KEY) if heavy is None else heavy
-    if heavy:
-        raise ValueError(
-            f"LOWESS needs whole series below the heavy-row limit; too long: {heavy[:5]}. Use a grid filter."
-        )
-    iterations = list(iterations)
-    cols = [KEY, "index_col", time, value, base_flag, eval_flag] + ([minfrac_col] if minfrac_col else [])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, "index_col"])
-        base, ev = pdf[pdf[base_flag]], pdf[pdf[eval_flag]]
-        lo = float(pdf[minfrac_col].iloc[0]) if minfrac_col else minfrac
-        res = pd.DataFrame({KEY: ev[KEY], "index_col": ev["index_col"]})
-        if len(base) < 3 or ev.empty:
-            return res.assign(bottom=np.nan, top=np.nan, residual=np.nan)
-        x = base[time].to_numpy(dtype=float) / DAY
-        at = ev[time].to_numpy(dtype=float) / DAY
-        shift = x[0]
-        c = kernels.lowess_curves(
-            x - shift, base[value].to_numpy(dtype=float), at - shift,
-            lowess_fractions(lo, maxfrac, frac_step), iterations,
-        )
-        r = c - ev[value].to_numpy(dtype=float)
-        size = np.where(np.isnan(r), np.inf, np.abs(r))
-        best = r[size.argmin(axis=0), np.arange(r.shape[1])]
-        return res.assign(bottom=np.nanmin(c, axis=0), top=np.nanmax(c, axis=0), residual=best)
-
-    got = rows.filter(F.col(base_flag) | F.col(eval_flag)).select(*cols).groupBy(KEY).applyInPandas(
-        run, f"{KEY} long, index_col long, bottom double, top double, residual double"
-    )
-    nn = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    got = got.select(KEY, "index_col", nn("bottom"), nn("top"), nn("residual"))
+    used = rows.filter(F.col(base_flag) | F.col(eval_flag))
+    low = F.col(minfrac_col) if minfrac_col else F.lit(float(minfrac))
+    got = L.sweep(used, base_flag, eval_flag, time, value, low, float(maxfrac), float(frac_step), iterations)
     return rows.filter(F.col(eval_flag)).join(got, [KEY, "index_col"], "left")
 
 
 # ------------------------------------------------------------- sweep
-def grid_curve(base: DataFrame, kind: str, step=DAY, interpolation="linear", **params):
-    """(origin, curve) of one grid smoother with one parameter set."""
+def grid_of(base: DataFrame, kind: str, step=DAY, interpolation="linear"):
+    """(origin, grid) that the curves of one kind need."""
     midnight = kind == "hampel"
-    origin = G.grid_origin(base, step, midnight)
-    if interpolation == "linear":
-        grid = G.regular_grid(base, step, midnight, origin=origin)
-    elif interpolation == "pchip" and not midnight:
-        grid = G.pchip_grid(base, step)
-    else:
+    if interpolation not in ("linear", "pchip") or midnight and interpolation == "pchip":
         raise ValueError("interpolation must be linear or pchip (pchip grids start at the first time)")
+    origin = G.grid_origin(base, step, midnight)
+    return origin, G.regular_grid(base, step, midnight, origin=origin) if interpolation == "linear" else G.pchip_grid(base, step)
+
+
+def curve_on(grid: DataFrame, kind: str, step=DAY, **params) -> DataFrame:
+    """The curve of one parameter set on a grid of ``grid_of``."""
     per_day = int(DAY // step)
     if kind in ("savgol", "median", "hampel") and per_day > 1:
         params["window"] = params.get("window", 21) * per_day + 1 - (params.get("window", 21) * per_day) % 2
@@ -262,7 +231,13 @@ def grid_curve(base: DataFrame, kind: str, step=DAY, interpolation="linear", **p
     if kind == "kalman":
         params.setdefault("n_iter", 20 if per_day > 1 else 10)
     fn = {"savgol": savgol, "median": running_median, "hampel": hampel, "wavelet": wavelet, "kalman": kalman}[kind]
-    return origin, fn(grid, **params)
+    return fn(grid, **params)
+
+
+def grid_curve(base: DataFrame, kind: str, step=DAY, interpolation="linear", **params):
+    """(origin, curve) of one grid smoother with one parameter set."""
+    origin, grid = grid_of(base, kind, step, interpolation)
+    return origin, curve_on(grid, kind, step, **params)
 
 
 DEFAULT_SWEEPS = {
@@ -280,8 +255,10 @@ def sweep(base: DataFrame, rows: DataFrame, kind: str, params: list[dict] | None
     ``bottom`` / ``top``."""
     params = DEFAULT_SWEEPS[kind] if params is None else params
     out, names = rows, []
+    origin, grid = grid_of(base, kind, step, interpolation)
+    grid = cut(grid)  # one grid under all parameter sets
     for i, p in enumerate(params):
-        origin, curve = grid_curve(base, kind, step, interpolation, **p)
+        curve = curve_on(grid, kind, step, **p)
         name = f"__s{i}"
         if interpolation == "pchip":
             out = G.pchip_at_times(out, curve, origin, step=step, out=name)

@@ -134,19 +134,19 @@ def metric_long(stats) -> DataFrame:
     return stats.select(KEY, F.explode(F.array(*e)).alias("e")).select(KEY, "e.*").filter(F.col("value").isNotNull())
 
 
-def percentile_summary(long, cfg: ValidationConfig = ValidationConfig(), heavy=None) -> DataFrame:
+def percentile_summary(long, cfg: ValidationConfig = ValidationConfig()) -> DataFrame:
     """P50, P25, P75 and the summary percentile per metric and method;
     metrics where higher is better use the complementary percentile."""
     s = cfg.summary_percentile / 100.0
     q = grouped_quantiles(
         long.withColumn("__k", F.concat_ws("/", "metric", "method")), ["__k", "metric", "method"], "value",
-        [0.25, 0.5, 0.75, s, 1.0 - s], ["p25", "p50", "p75", "__hi", "__lo"], [F.count("value").alias("n")], heavy,
+        [0.25, 0.5, 0.75, s, 1.0 - s], ["p25", "p50", "p75", "__hi", "__lo"], [F.count("value").alias("n")],
     )
     better_high = F.col("metric").isin("correlation", "retention")
     return q.withColumn("p_summary", F.when(better_high, F.col("__lo")).otherwise(F.col("__hi"))).drop("__k", "__hi", "__lo")
 
 
-def extra_residual(stats, cfg: ValidationConfig = ValidationConfig(), heavy=None) -> DataFrame:
+def extra_residual(stats, cfg: ValidationConfig = ValidationConfig()) -> DataFrame:
     """sqrt(max(0, r_daily^2 - r_retained^2)), summarised per statistic."""
     parts = []
     for v in VARIABILITY:
@@ -156,7 +156,7 @@ def extra_residual(stats, cfg: ValidationConfig = ValidationConfig(), heavy=None
         parts.append(F.struct(F.lit(v).alias("statistic"), val.alias("r_extra")))
     long = stats.select(F.explode(F.array(*parts)).alias("e")).select("e.*").filter(F.col("r_extra").isNotNull())
     return grouped_quantiles(long, ["statistic"], "r_extra", [cfg.summary_percentile / 100.0], ["p_summary"],
-                             [F.count("*").alias("n")], heavy)
+                             [F.count("*").alias("n")])
 
 
 def area_histogram(masked, bins_per_decade: int = 10) -> DataFrame:
@@ -220,13 +220,13 @@ def retention_by_cycle(scored, cfg: ValidationConfig = ValidationConfig()) -> Da
     return n.join(lookup, "cycle_id", "left")
 
 
-def box_stats(long, group: list[str], value: str, heavy=None) -> DataFrame:
+def box_stats(long, group: list[str], value: str) -> DataFrame:
     """P5/P25/P50/P75/P95 per group."""
     return grouped_quantiles(long, group, value, [0.05, 0.25, 0.5, 0.75, 0.95], ["p5", "p25", "p50", "p75", "p95"],
-                             [F.count(value).alias("n")], heavy)
+                             [F.count(value).alias("n")])
 
 
-def error_by_ice(scored, cfg: ValidationConfig = ValidationConfig(), heavy=None) -> DataFrame:
+def error_by_ice(scored, cfg: ValidationConfig = ValidationConfig()) -> DataFrame:
     """Errors per lake, method and ice state, relative to the sample
     deviation of the retained values."""
     ice = F.col("ice_clim_f")
@@ -235,7 +235,7 @@ def error_by_ice(scored, cfg: ValidationConfig = ValidationConfig(), heavy=None)
     )
     long = M.method_long(scored.withColumn("__conds", conds), cfg.methods, [KEY, "gauge_corrected", "__conds"])
     long = long.withColumn("ice_cond", F.explode("__conds")).drop("__conds")
-    err = M.pair_errors(long, [KEY, "method", "ice_cond"], cfg, heavy=heavy)
+    err = M.pair_errors(long, [KEY, "method", "ice_cond"], cfg)
     lake = scored.groupBy(KEY).agg(
         F.stddev_samp("wse_adjusted").alias("__s"),
         F.max_by(F.col("p_ref_area"), F.when(F.col("p_ref_area").isNotNull(), F.col("index_col"))).alias("lake_area"),
@@ -249,13 +249,13 @@ def error_by_ice(scored, cfg: ValidationConfig = ValidationConfig(), heavy=None)
     return out.withColumn("rel_err", rel).drop("__s")
 
 
-def error_by_ice_summary(errors, cfg: ValidationConfig = ValidationConfig(), heavy=None) -> DataFrame:
+def error_by_ice_summary(errors, cfg: ValidationConfig = ValidationConfig()) -> DataFrame:
     """P50 and the summary percentile of X14 by state and method."""
     s = cfg.summary_percentile / 100.0
     e = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("mae", "rel_err")])
     long = errors.select("ice_cond", "method", F.explode(e).alias("e")).select("ice_cond", "method", "e.*")
     return grouped_quantiles(long, ["ice_cond", "method", "metric"], "value", [0.5, s], ["p50", "p_summary"],
-                             [F.count("value").alias("n")], heavy)
+                             [F.count("value").alias("n")])
 
 
 def with_area_bins(df, figure: bool = False) -> DataFrame:
@@ -271,14 +271,14 @@ def with_area_bins(df, figure: bool = False) -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn("area_bin", binned).drop("__a", "__b", "__n")  # ends: one row
 
 
-def area_bin_reduction(stats, heavy=None) -> DataFrame:
+def area_bin_reduction(stats) -> DataFrame:
     """How far the filter lowers the median relative error of the standard
     deviation against the stringent benchmark, per area bin."""
     long = norm_variability(stats.filter((F.col("std_gauge") > 0) & F.col("lake_area").isNotNull())).filter(
         (F.col("statistic") == "std") & F.col("method").isin("stringent", "filtered"))
     binned = with_area_bins(long, figure=True).filter(F.col("area_bin").isNotNull())
     n = binned.groupBy("area_bin").agg(F.countDistinct(KEY).alias("n_lakes"))
-    q = grouped_quantiles(binned, ["area_bin", "method"], "rel_err", [0.5], ["m"], (), heavy)
+    q = grouped_quantiles(binned, ["area_bin", "method"], "rel_err", [0.5], ["m"])
     w = q.groupBy("area_bin").agg(
         F.max(F.when(F.col("method") == "stringent", F.col("m"))).alias("median_stringent"),
         F.max(F.when(F.col("method") == "filtered", F.col("m"))).alias("median_filtered"),
@@ -294,11 +294,11 @@ def reduction_range(reduction) -> DataFrame:
                          F.percentile("reduction_pct", 0.5).alias("median_reduction"))
 
 
-def variability_summary(long, group: list[str], cfg: ValidationConfig = ValidationConfig(), heavy=None) -> DataFrame:
+def variability_summary(long, group: list[str], cfg: ValidationConfig = ValidationConfig()) -> DataFrame:
     """N, median, mean, summary percentile and P90 of the relative error."""
     return grouped_quantiles(
         long, group, "rel_err", [0.5, cfg.summary_percentile / 100.0, 0.9], ["median", "p_summary", "p90"],
-        [F.count("rel_err").alias("n"), F.avg("rel_err").alias("mean")], heavy,
+        [F.count("rel_err").alias("n"), F.avg("rel_err").alias("mean")],
     )
 
 
@@ -312,20 +312,20 @@ def lake_dimension(obs) -> DataFrame:
     return out.withColumn("p_lon", wrap_longitude(F.col("p_lon")))
 
 
-def geo_table(stats, dimension, metric: str, heavy=None) -> DataFrame:
+def geo_table(stats, dimension, metric: str) -> DataFrame:
     """Metric with position per lake, and the symmetric colour limit (P95 of
     the size, else its maximum, else one)."""
     d = stats.select(KEY, metric).join(dimension, KEY).filter(F.col(metric).isNotNull())
     d = d.withColumn("__size", F.abs(metric))
-    lim = grouped_quantiles(d, [], "__size", [0.95], ["__p"], [F.max("__size").alias("__m")], heavy)
+    lim = grouped_quantiles(d, [], "__size", [0.95], ["__p"], [F.max("__size").alias("__m")])
     limit = F.when(F.col("__p") > 0, F.col("__p")).when(F.col("__m") > 0, F.col("__m")).otherwise(1.0)
     return d.crossJoin(F.broadcast(lim)).withColumn("colour_limit", limit).drop("__size", "__p", "__m")  # one row
 
 
-def area_stats(dimension, heavy=None) -> DataFrame:
+def area_stats(dimension) -> DataFrame:
     """X23."""
     return grouped_quantiles(
         dimension, [], "p_ref_area", [0.5], ["median_area"],
         [F.min("p_ref_area").alias("min_area"), F.max("p_ref_area").alias("max_area"),
-         F.avg("p_ref_area").alias("mean_area"), F.count("*").alias("n_lakes")], heavy,
+         F.avg("p_ref_area").alias("mean_area"), F.count("*").alias("n_lakes")],
     )

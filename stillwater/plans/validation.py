@@ -35,10 +35,10 @@ def gauge_seconds(gauge: DataFrame, ts="gauge_datetime") -> DataFrame:
     )
 
 
-def scored_rows(labelled: DataFrame, gauge: DataFrame, tolerance, heavy=None) -> DataFrame:
+def scored_rows(labelled: DataFrame, gauge: DataFrame, tolerance) -> DataFrame:
     """Matched rows with benchmark columns and the datum-corrected gauge."""
     # written: the offset reads the matches a second time
-    return M.with_corrected_gauge(cut(match_gauges(benchmark_columns(labelled), gauge, tolerance)), heavy)
+    return M.with_corrected_gauge(cut(match_gauges(benchmark_columns(labelled), gauge, tolerance)))
 
 
 def daily_tables(labelled: DataFrame, gauge: DataFrame, cfg: ValidationConfig) -> DataFrame:
@@ -50,10 +50,10 @@ def daily_tables(labelled: DataFrame, gauge: DataFrame, cfg: ValidationConfig) -
     return daily_series(benchmark_columns(labelled), g, cols, major_gap_days=cfg.major_gauge_gap_days)
 
 
-def method_errors(scored: DataFrame, cfg: ValidationConfig, heavy=None) -> DataFrame:
+def method_errors(scored: DataFrame, cfg: ValidationConfig) -> DataFrame:
     """Error row per (lake, method)."""
     long = M.method_long(scored, cfg.methods, [KEY, "gauge_corrected"])
-    return M.pair_errors(long, [KEY, "method"], cfg, heavy=heavy)
+    return M.pair_errors(long, [KEY, "method"], cfg)
 
 
 def _pivot(long: DataFrame, cfg: ValidationConfig, cols: list[str]) -> DataFrame:
@@ -67,14 +67,14 @@ def _pivot(long: DataFrame, cfg: ValidationConfig, cols: list[str]) -> DataFrame
 
 def lake_stats(
     labelled: DataFrame, gauge: DataFrame, registry: DataFrame, tolerance,
-    cfg: ValidationConfig = ValidationConfig(), heavy: list | None = None,
+    cfg: ValidationConfig = ValidationConfig(),
 ) -> DataFrame:
     """One row per registered lake; lakes without data keep NULL metrics.
 
     ``labelled`` carries wse_adjusted, filter_flag and the outcome columns.
     """
-    scored = scored_rows(labelled, gauge, tolerance, heavy)
-    errors = _pivot(method_errors(scored, cfg, heavy), cfg, ["n_match", "n_used", "mae", "median_error"])
+    scored = scored_rows(labelled, gauge, tolerance)
+    errors = _pivot(method_errors(scored, cfg), cfg, ["n_match", "n_used", "mae", "median_error"])
     daily = daily_tables(labelled, gauge, cfg)
     methods = [f"daily_{SHORT[m]}" for m in cfg.methods]
     dm = cut(M.daily_metrics(daily, methods, cfg))  # a row per lake, read twice

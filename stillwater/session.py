@@ -6,11 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Above this many rows a group is never gathered by one task: exact work on it
-# goes through the narrowing / per-day paths instead.
-HEAVY_ROWS_CONF = "spark.stillwater.heavyGroupRows"
-HEAVY_ROWS_DEFAULT = 1_000_000
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime SQL settings (no static settings, safe on a shared session)."""
@@ -22,10 +17,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def heavy_rows_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(HEAVY_ROWS_CONF, str(HEAVY_ROWS_DEFAULT)))
-
-
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
@@ -57,3 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` wrote and nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from stillwater.session import HEAVY_ROWS_CONF, configure  # noqa: E402
+from stillwater.functions import quantiles  # noqa: E402
+from stillwater.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -21,8 +22,6 @@ def spark():
 
 
 @pytest.fixture
-def tiny_limit(spark):
-    """Every series counts as heavy."""
-    spark.conf.set(HEAVY_ROWS_CONF, "40")
-    yield 40
-    spark.conf.unset(HEAVY_ROWS_CONF)
+def narrow_brackets(monkeypatch):
+    """Groups of 200 rows and more are bracketed by the sketch."""
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 100)

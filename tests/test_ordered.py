@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stillwater.config import DAY, LENIENT, STRICT
-from stillwater.operators import asof, grid as G, kernels, screens, smoothers
+from stillwater.operators import asof, grid as G, kernels, lowess, screens, smoothers
 
 rng = np.random.default_rng(3)
 
@@ -182,7 +182,27 @@ def test_sweep_envelope_and_smallest_residual(spark):
     assert np.allclose(r.r, d[np.arange(len(d)), np.abs(d).argmin(axis=1)])
 
 
-def test_lowess_refuses_long_series(spark, tiny_limit):
-    df = spark.createDataFrame(series(60, lakes=(1,))).withColumn("is_base", F.lit(True)).withColumn("is_eval", F.lit(True))
-    with pytest.raises(ValueError, match="LOWESS"):
-        smoothers.lowess(df)
+@pytest.mark.parametrize("block", [1024, 16])
+def test_lowess_blocks_equal_whole_series(spark, monkeypatch, block):
+    monkeypatch.setattr(lowess, "BLOCK", block)
+    pdf = series(90, lakes=(1, 2)).assign(is_base=True, is_eval=True)
+    pdf.loc[pdf.index % 5 == 0, "is_base"] = False
+    pdf.loc[pdf.index % 7 == 0, "is_eval"] = False
+    df = spark.createDataFrame(pdf)
+    got = smoothers.lowess(df, iterations=(0, 2)).toPandas()
+    for i, s in pdf.groupby("lake_id"):
+        s = s.sort_values("time")
+        b, e = s[s.is_base], s[s.is_eval]
+        x0 = b.time.iloc[0]
+        c = kernels.lowess_curves(((b.time - x0) / DAY).to_numpy(), b.wse.to_numpy(), ((e.time - x0) / DAY).to_numpy(),
+                                  smoothers.lowess_fractions(0.1, 0.5, 0.1), [0, 2])
+        mine = got[got.lake_id == i].set_index("index_col").loc[e.index_col]
+        assert np.allclose(mine.bottom, c.min(axis=0)) and np.allclose(mine.top, c.max(axis=0))
+        r = c - e.wse.to_numpy()
+        assert np.allclose(np.abs(mine.residual), np.abs(r).min(axis=0))
+
+
+def test_lowess_of_very_short_series(spark):
+    df = spark.createDataFrame([(1, i, 86400.0 * i, 1.0, i < 2, True) for i in range(4)],
+                               "lake_id long, index_col long, time double, wse double, is_base boolean, is_eval boolean")
+    assert {r.residual for r in smoothers.lowess(df).collect()} == {None}
