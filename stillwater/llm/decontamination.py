@@ -56,6 +56,13 @@ def _seeds(df: DataFrame, keys: list[str], position: str) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, stretch, matched (most equal words in a stretch), n_equal (in the whole
     item), first_word (of the document, where the item's first word lies; may be negative)."""
+    best = F.max(F.struct("matched", "n_equal", (-F.col("first_word")).alias("back"), "stretch"))
+    return _matches(docs, benchmark).groupBy("doc_id", "item_id").agg(best.alias("b")).select(
+        "doc_id", "item_id", "b.stretch", "b.matched", "b.n_equal", (-F.col("b.back")).alias("first_word"))
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every verified place of an item: doc_id, th (hash of the text), item_id, first_word, stretch, matched, n_equal."""
     d = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     items = written(benchmark.select("item_id", words("text").alias("words")).where(F.size("words") >= SHORTEST).distinct())
     item_seeds = written(_seeds(items, ["item_id"], "at"))
@@ -65,27 +72,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = written(hits.select("doc_id", "th", "item_id", (F.col("pos") - F.col("at")).alias("first_word")).distinct())
     x = hits.select(F.col("doc_id").alias("did"), "th", F.col("item_id").alias("iid"), "first_word")
     pairs = d.join(x, F.col("doc_id").eqNullSafe(F.col("did")) & (d["th"] == x["th"])).select(
-        "doc_id", "iid", "first_word", words("text").alias("dw"))
+        "doc_id", d["th"], "iid", "first_word", words("text").alias("dw"))
     pairs = pairs.join(items, F.col("iid").eqNullSafe(F.col("item_id")))
     same = F.transform("words", lambda w, j: F.coalesce(
         (F.get("dw", F.col("first_word") + j) == w) & (F.col("first_word") + j >= 0), F.lit(False)).cast("int"))
-    pairs = pairs.select("doc_id", "item_id", "first_word", same.alias("same"),
+    pairs = pairs.select("doc_id", "th", "item_id", "first_word", same.alias("same"),
                          F.least(F.size("words"), F.lit(STRETCH)).alias("stretch"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
     runs = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("stretch") + 1),
                        lambda i: total(F.slice("same", i, F.col("stretch"))))
-    pairs = pairs.select("doc_id", "item_id", "first_word", "stretch", F.array_max(runs).alias("matched"),
+    pairs = pairs.select("doc_id", "th", "item_id", "first_word", "stretch", F.array_max(runs).alias("matched"),
                          total("same").alias("n_equal"))
-    pairs = pairs.where(F.expr(f"matched >= stretch - (stretch - {SHORTEST}) div 4"))
-    best = F.max(F.struct("matched", "n_equal", (-F.col("first_word")).alias("back"), "stretch"))
-    return pairs.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
-        "doc_id", "item_id", "b.stretch", "b.matched", "b.n_equal", (-F.col("b.back")).alias("first_word"))
+    return pairs.where(F.expr(f"matched >= stretch - (stretch - {SHORTEST}) div 4"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that leak no item."""
-    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id__")).distinct())
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leak_id__"]), "left_anti")
+    """The rows of ``docs`` that leak no item; rows that share an id, a null one too, are told apart by their texts."""
+    found = _matches(docs, benchmark).select(F.col("doc_id").alias("leak_id__"), F.col("th").alias("leak_th__"))
+    found = written(found.distinct())
+    same = docs["doc_id"].eqNullSafe(found["leak_id__"]) & (F.xxhash64(docs["text"]) == found["leak_th__"])
+    return docs.join(found, same, "left_anti")
 
 
 def _sql() -> str:

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,8 +77,18 @@ def scan(page: str, spared: frozenset) -> tuple[list[tuple[str, int, bool, bool]
     out, pieces, links = [], [], 0
     stack: list[tuple[str, int, bool, int | None]] = []  # name, noise, inside an article, place if noise by class name
     heading = False
+    opened: dict[str, list[int]] = defaultdict(list)  # name -> its places in the stack
     total, in_articles, held, articles = 0, 0, Counter(), Counter()
 
+    def push(name: str, *state):
+        opened[name].append(len(stack))
+        stack.append((name, *state))
+
+    def drop(depth: int):
+        for name, *_ in stack[depth:]:
+            opened[name].pop()
+        del stack[depth:]
+
     def close():
         nonlocal pieces, links, heading, total, in_articles
         text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
@@ -99,12 +109,12 @@ def scan(page: str, spared: frozenset) -> tuple[list[tuple[str, int, bool, bool]
     def take(text: str):
         nonlocal links, heading
         if stack and stack[-1][0] == "head" and text.strip():
-            del stack[-1]  # text is never in the head
+            drop(len(stack) - 1)  # text is never in the head
         if text:
             pieces.append(text)
-            if any(e[0] == "a" for e in stack[-8:]):
+            if opened["a"]:
                 links += len(SPACE.sub(" ", html.unescape(text)).strip())
-            heading = heading or any(e[0] in HEADINGS for e in stack[-8:])
+            heading = heading or any(opened[h] for h in HEADINGS)
 
     at = 0
     for m in TAG.finditer(page):
@@ -113,25 +123,25 @@ def scan(page: str, spared: frozenset) -> tuple[list[tuple[str, int, bool, bool]
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
-        if not (m[2] or m[5]) and name not in HEAD and any(e[0] == "head" for e in stack):
+        if not (m[2] or m[5]) and name not in HEAD and opened["head"]:
             close()
-            del stack[next(i for i, e in enumerate(stack) if e[0] == "head"):]
+            drop(opened["head"][0])
         if name == "br":
             pieces.append(" ")
             continue
         if name not in INLINE:
             close()
         if m[2] or m[5]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
+            if opened[name]:
+                depth = opened[name][-1]
                 if any(e[0] not in INLINE for e in stack[depth:]):
                     close()
-                del stack[depth:]
+                drop(depth)
         elif name not in VOID:
             if name not in INLINE and stack:  # a block ends an open paragraph and what is open in it
                 p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
                 if p is not None and stack[p][0] == "p":
-                    del stack[p:]
+                    drop(p)
             noise, article = stack[-1][1:3] if stack else (0, False)
             main = name in ("article", "main")
             if main and noise and next(e[0] for e in stack if e[1]) in ("nav", "header"):
@@ -140,7 +150,7 @@ def scan(page: str, spared: frozenset) -> tuple[list[tuple[str, int, bool, bool]
             if own == 1 and m.start() in spared:
                 own = 0
             noise = max(noise, own)
-            stack.append((name, noise, article or main and not noise, m.start() if own == 1 else None))
+            push(name, noise, article or main and not noise, m.start() if own == 1 else None)
     take(page[at:])
     close()
     least = in_articles or sum(weight for text, weight, _, _ in out if text)

@@ -44,7 +44,7 @@ REACH = LENGTH - ANCHOR + 1  # places of the anchor in a string
 HOT = 20_000
 BUCKET_BYTES = 6_000_000
 CHUNK = 1 << 19
-_LOW = np.uint64((1 << 20) - 1)
+_LOW = np.uint64((1 << 21) - 1)  # a place in a buffer, which may be CHUNK + LENGTH - 2 bytes longer than CHUNK
 
 
 def fragments(data: np.ndarray, begin: np.ndarray, end: np.ndarray):

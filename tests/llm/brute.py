@@ -45,6 +45,17 @@ def simhash_groups(texts):
     return f, groups(len(f), [(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 2])
 
 
+def shingles(text, size=5):
+    w = SPACE.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def jaccard_groups(texts, percent=80):
+    s = [shingles(t) for t in texts]
+    same = lambda a, b: not a and not b or 100 * len(a & b) >= percent * len(a | b)
+    return groups(len(s), [(i, j) for i in range(len(s)) for j in range(i) if same(s[i], s[j])])
+
+
 def repeats(texts, length=200):
     """(bytes, removed, runs, kept) of every text."""
     t = [(x or "").encode() for x in texts]

@@ -31,8 +31,8 @@ def altered(text, rng, n):
 
 def test_names_and_contract():
     assert list(sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))) == sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
-    assert {n.split("_")[0] for n in ORACLE} == {"op2", "op3", "op8", "op9"}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
+    assert {n.split("_")[0] for n in ORACLE} == {"op2", "op3", "op8", "op9", "op11", "op12", "op13"}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "simhash", "decontamination", "mixing", "sharding"]
 
 
@@ -209,7 +209,7 @@ def test_pipeline_equals_brute_force(spark, rows):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     kept = [r for r in rows if brute.p_best(r[1], model) >= quality.KEEP_AT]
-    _, root = brute.simhash_groups([r[1] for r in kept])
+    root = brute.jaccard_groups([r[1] for r in kept])
     kept = [r for i, r in enumerate(kept) if root[i] == i]
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = brute.leaking([r[1] for r in kept], items)

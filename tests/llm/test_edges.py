@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import types as T
@@ -103,8 +104,12 @@ def test_html(spark):
     kind = "page_id long, url string, html string, text string"
     got = html_text.extract(spark.createDataFrame(pages, kind)).collect()
     assert [r["text"] for r in got if r["page_id"] == 4] == ["A&B <i> c\n\nd"] and len(got) == 5
-    assert sorted(r["n_chars"] for r in got) == [0, 0, 0, 0, 12]
+    assert sorted(r["n_chars"] for r in got) == [0, 0, 0, 12, 13]  # a page without a surge gives its heaviest run
     assert html_text.extract(spark.createDataFrame([], kind)).count() == 0
+    deep = lambda n: "<div>" + "<span>" * n + "<a href=x>" + "<b>" * n + "link text " * 9 + "</b>" * n + "</a>" + "</span>" * n + "</div>"
+    assert [w for _, w, _, _ in html_text.lines(deep(1))] == [w for _, w, _, _ in html_text.lines(deep(12))] == [0]
+    begun = time.time()
+    assert html_text.main_text("<div>" * 60_000 + "x" * 100) == "x" * 100 and time.time() - begun < 20
 
 
 def test_decontamination(spark, docs, nothing):
@@ -112,6 +117,22 @@ def test_decontamination(spark, docs, nothing):
     assert [(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()] == [(1, 1)]
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0 and decontamination.leaks(nothing, bench).count() == 0
     assert decontamination.clean(docs, bench).count() == len(TEXTS) - 1 and decontamination.clean(docs, bench).columns == docs.columns
+    leak = "one two three four five six"
+    more = spark.createDataFrame([(1, leak), (1, "clean words only here"), (None, leak), (None, "other clean words here"), (2, None)], "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in decontamination.clean(more, bench).collect()} == {
+        (1, "clean words only here"), (None, "other clean words here"), (2, None)}
+
+
+def test_repeats_at_the_edge_of_a_buffer(spark):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    first, second = letters(2**19 - 10), letters(2**20)
+    third = letters(50) + second[2**19 - 300:2**19 - 100] + letters(50)
+    tail = letters(30) + second[2**19 + 10:2**19 + 190 + 20] + letters(10)
+    for order in ((first, second, third, tail), (second, first, tail, third)):
+        df = spark.createDataFrame(list(enumerate(order)), "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: r["n_removed"] for r in repeats.remove(df).collect()}
+        assert [got[order.index(t)] for t in (first, second, third, tail)] == [0, 400, 200, 200]
 
 
 def test_simhash(docs, nothing):
