@@ -1024,4 +1024,4 @@ def reduction_range(t):
     return m.select("min_reduction", "max_reduction", F.round("median_reduction", 5).alias("median_reduction"))
 
 
-from catalogue import filter_twin, io_queries  # noqa: E402,F401  (register themselves)
+from catalogue import filter_twin, io_queries, workflow_queries  # noqa: E402,F401  (register themselves)
