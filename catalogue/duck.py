@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from stillwater.operators.kernels import WAVELET_TAPS
 from stillwater.sources.tables import ARRIVAL, DAY_OF, GAUGE_WSE, OBS_COLUMNS, SCENARIO
 
 FILL = "-999999999999e0"
@@ -316,6 +317,35 @@ CTE["ham"] = """with recursive ys as (select lake_id, list(y order by k) as a, c
  select hgrid.lake_id, hgrid.k, g, coalesce(r.curve, y) as curve from hgrid left join r on r.lake_id = hgrid.lake_id and r.k = hgrid.k"""
 
 
+def _wavelet_tables(bands: int = 5) -> None:
+    """db4 bands ``wv`` by joins on mirrored places, then folded curves ``wr``."""
+    taps = WAVELET_TAPS["db4"]
+    reach = len(taps) - 1
+    high = [w if j % 2 else -w for j, w in enumerate(taps)]
+    down = ", ".join(f"({j}, {a!r}::double, {b!r}::double)" for j, (a, b) in enumerate(zip(taps[::-1], high)))
+    up = ", ".join(f"({j}, {a!r}::double, {b!r}::double)" for j, (a, b) in enumerate(zip(taps, high[::-1])))
+    steps = " + ".join(f"cast(k_last + 1 >= {reach * 2 ** b} as int)" for b in range(1, bands + 1))
+    CTE["wv0"] = f"select lake_id, k, k_last + 1 as n, {steps} as steps, y as a from grid"
+    for b in range(bands):
+        CTE[f"wv{b + 1}"] = f"""select o.lake_id, i as k, o.n, o.steps, sum(lo * s.a) as a, sum(hi * s.a) as d from (
+ select *, 2 * i + 1 - j as q from (select lake_id, n as len, (n + {reach}) // 2 as n, steps, unnest(range((n + {reach}) // 2)) as i
+  from (select distinct lake_id, n, steps from wv{b} where steps > {b})), (values {down}) taps(j, lo, hi)) o
+ join wv{b} s on s.lake_id = o.lake_id and s.k = case when q < 0 then -q - 1 when q >= len then 2 * len - 1 - q else q end group by 1, 2, 3, 4"""
+    CTE["wvt"] = """select lake_id, m / 6.745e-1 * sqrt(2 * ln(n)) as cutoff from (select lake_id, quantile_cont(abs(d), 0.5) as m from wv1 group by 1)
+ join (select distinct lake_id, n from wv0) using (lake_id)"""
+    CTE[f"wr{bands}"] = f"select lake_id, k, a from wv{bands}"
+    for b in range(bands - 1, -1, -1):
+        CTE[f"wr{b}"] = f"""select lake_id, k, a from wv{b} where steps = {b} union all
+ select o.lake_id, o.k, sum(lo * x.a + hi * x.d) as a from (select *, (k + {reach - 1} - j) // 2 as q from wv{b}, (values {up}) taps(j, lo, hi)
+  where steps > {b} and k + {reach - 1} >= j and (k + {reach - 1} - j) % 2 = 0) o
+ join (select r.lake_id, r.k, r.a, sign(d) * greatest(abs(d) - cutoff, 0) as d from wr{b + 1} r join wv{b + 1} w on w.lake_id = r.lake_id and w.k = r.k
+  join wvt c on c.lake_id = r.lake_id) x on x.lake_id = o.lake_id and x.k = o.q group by 1, 2"""
+
+
+_wavelet_tables()
+CTE["wav"] = "select grid.lake_id, grid.k, g, a as curve from grid join wr0 r on r.lake_id = grid.lake_id and r.k = grid.k"
+
+
 def at_times(curve: str, rounded: bool = True) -> str:
     """Linear evaluation of a grid curve at the baseline's times."""
     value = "coalesce((nx.curve - c.curve) * ((b.time - c.g) / 8.64e4) + c.curve, c.curve)"

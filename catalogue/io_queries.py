@@ -12,7 +12,7 @@ from stillwater.operators import prep, thresholds as T
 from stillwater.schema import OBSERVATIONS
 from stillwater.session import scratch_path
 from stillwater.sources import gauges as SG, observations as SO, sinks
-from stillwater.sources.tables import table
+from stillwater.sources.tables import ARRIVAL, table
 
 _IDS = ["lake_id", "pass_id", "cycle_id", "quality_f", "crid"]
 _VALUES = ["time", "wse", "wse_u", "area_total"]
@@ -44,9 +44,12 @@ def parquet_cache(t):
 
 @register(sql("obs", body=_ROWS))
 def response_envelopes(t):
-    """One response per lake, beside bodies that hold nothing."""
+    """Responses of some thousand rows at most, beside bodies that hold nothing."""
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _SOURCE_COLUMNS])
-    per_lake = t.raw.select("lake_id", line.alias("line")).groupBy("lake_id").agg(F.collect_list("line").alias("lines"))
+    # a response takes one share of its lake's rows, dealt by their arrival
+    shares = t.raw.groupBy("lake_id").agg(F.ceil(F.count("*") / 1000).alias("shares"))
+    dealt = t.raw.join(shares, "lake_id").withColumn("share", F.pmod(F.xxhash64(*ARRIVAL), "shares"))
+    per_lake = dealt.select("lake_id", "share", line.alias("line")).groupBy("lake_id", "share").agg(F.collect_list("line").alias("lines"))
     text = F.concat(F.lit(",".join(_SOURCE_COLUMNS) + "\n"), F.array_join("lines", "\n"))
     bodies = per_lake.select(F.to_json(F.struct(F.struct(text.alias("csv")).alias("results"))).alias("body"))
     empty = per_lake.select(F.when(F.col("lake_id") % 3 == 0, "not json").when(F.col("lake_id") % 3 == 1, '{"results": {}}').alias("body"))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import ValidationConfig
 from ..functions.columns import lit_false, permissive, stringent
 from ..functions.quantiles import grouped_medians, grouped_quantiles
+from ..functions.ranks import running_total
+from ..session import cut
 
 KEY = "lake_id"
 
@@ -30,14 +32,15 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def spearman(df: DataFrame, a: str, b: str, out: str = "spearman") -> DataFrame:
-    """M3: correlation of average ranks per series. Ranks are taken on counted
-    distinct values, so the ordered window holds one row per distinct value."""
-    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(KEY, a, b)
+    """M3: correlation of average ranks per series. Equal values are counted before
+    they are ordered, so ties are one row, and the order is dealt by ranges, so a
+    long series is ranked by many tasks."""
+    pairs = cut(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(KEY, a, b))
 
     def ranks(c, name):
         counted = pairs.groupBy(KEY, c).agg(F.count("*").alias("__c"))
-        before = F.sum("__c").over(W.partitionBy(KEY).orderBy(c).rowsBetween(W.unboundedPreceding, 0)) - F.col("__c")
-        return counted.select(KEY, c, (before + (F.col("__c") + 1) / 2).alias(name))
+        placed = running_total(counted, [KEY], [c], "__c", "__before")
+        return placed.select(KEY, c, (F.col("__before") + (F.col("__c") + 1) / 2).alias(name))
 
     j = pairs.join(ranks(a, "__ra"), [KEY, a]).join(ranks(b, "__rb"), [KEY, b])
     return j.groupBy(KEY).agg(pearson(F.col("__ra"), F.col("__rb")).alias(out))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import DAY, FILL_VALUE
+from ..functions.ranks import running_total
 from ..functions.columns import (
     fill_to_null, ice_condition, seconds_to_timestamp, version_suffix,
 )
@@ -68,9 +69,10 @@ def distinct_times(obs: DataFrame) -> DataFrame:
 
 
 def first_seen_order(df: DataFrame, id_col: str, position_col: str) -> DataFrame:
-    """Distinct ids with their first position and its rank from 1 (one row per id is ordered)."""
+    """Distinct ids with their first position and its rank from 1, ranked by ranges of positions."""
     first = df.groupBy(id_col).agg(F.min(position_col).alias("first_position"))
-    return first.withColumn("first_rank", F.row_number().over(W.orderBy("first_position", id_col)))
+    placed = running_total(first, [], ["first_position", id_col], out="first_rank")
+    return placed.withColumn("first_rank", F.col("first_rank") + 1)
 
 
 def exclude(df: DataFrame, ids: DataFrame, key: str = SERIES) -> DataFrame:

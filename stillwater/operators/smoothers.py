@@ -1,8 +1,8 @@
 """Low-pass curves.
 
 Savitzky-Golay, running median and the smoothing cubic are Column expressions;
-wavelet, Hampel and Kalman run a small NumPy helper on the series' regular
-grid (bounded by the calendar); LOWESS is in ``lowess``.
+Hampel and Kalman run a small NumPy helper on the series' regular grid (bounded
+by the calendar); LOWESS is in ``lowess``, the wavelet bands in ``wavelets``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..config import DAY
 from ..session import cut
-from . import grid as G, kernels, lowess as L
+from . import grid as G, kernels, lowess as L, wavelets
 
 KEY = "lake_id"
 HOUR = 3600.0
@@ -171,8 +171,7 @@ def _on_grid(grid: DataFrame, fn, value="y", out="curve") -> DataFrame:
 
 def wavelet(grid: DataFrame, name="db4", level=None, threshold=None, hourly=False, value="y", out="curve"):
     """L6."""
-    top = 8 if hourly else 5
-    return _on_grid(grid, lambda y: kernels.wavelet_denoise(y, name, level, threshold, top), value, out)
+    return wavelets.denoise(grid, name, level, threshold, 8 if hourly else 5, value, out)
 
 
 def hampel(grid: DataFrame, window=21, value="y", out="curve"):

@@ -51,19 +51,25 @@ def read_observations(spark: SparkSession, path: str, fmt: str = "parquet", sche
     return out
 
 
-def parse_responses(bodies: DataFrame, body: str = "body", schema=OBSERVATIONS, required=REQUIRED) -> DataFrame:
+def parse_responses(
+    bodies: DataFrame, body: str = "body", schema=OBSERVATIONS, required=REQUIRED, block: int = 2000,
+) -> DataFrame:
     """Observations out of landed JSON envelopes whose ``results.csv`` holds
     CSV text, one response per row.
 
     Bodies that are missing, not JSON, blank or lack a required column give no
-    rows. Columns are matched by header name, whatever their order.
+    rows. Columns are matched by header name, whatever their order. A body is only
+    cut into blocks of ``block`` lines where it lies; the blocks go to all tasks,
+    each with its header, so one long body does not stay in one task.
     """
     text = F.get_json_object(F.col(body), "$.results.csv")
     lines = F.filter(F.split(text, r"\r?\n"), lambda s: F.length(F.trim(s)) > 0)
     t = bodies.select(lines.alias("lines")).filter(F.size("lines") > 1)
     t = t.withColumn("header", F.transform(F.split(F.col("lines")[0], ","), lambda s: F.trim(F.regexp_replace(s, '"', ""))))
     t = t.filter(F.size(F.array_except(F.array(*[F.lit(c) for c in required]), F.col("header"))) == 0)
-    rows = t.select("header", F.explode(F.slice("lines", F.lit(2), F.size("lines") - 1)).alias("line"))
+    starts = F.sequence(F.lit(2), F.size("lines"), F.lit(block))
+    parts = t.select("header", F.explode(F.transform(starts, lambda i: F.slice("lines", i, F.lit(block)))).alias("part"))
+    rows = parts.hint("rebalance").select("header", F.explode("part").alias("line"))
     # quoted cells may hold commas: cut on commas outside quotes
     cells = F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
     rows = rows.withColumn("cells", F.transform(cells, lambda s: F.regexp_replace(F.trim(s), '^"|"$', "")))

@@ -206,3 +206,17 @@ def test_lowess_of_very_short_series(spark):
     df = spark.createDataFrame([(1, i, 86400.0 * i, 1.0, i < 2, True) for i in range(4)],
                                "lake_id long, index_col long, time double, wse double, is_base boolean, is_eval boolean")
     assert {r.residual for r in smoothers.lowess(df).collect()} == {None}
+
+
+@pytest.mark.parametrize("name, level, threshold", [("db4", None, None), ("sym2", None, 0.3), ("coif1", 3, None), ("db4", 4, 0.1)])
+def test_wavelet_bands_against_the_array_form(spark, name, level, threshold):
+    curves = {i: np.cumsum(rng.normal(size=n)) for i, n in enumerate([1, 2, 5, 9, 29, 30, 113, 400])}
+    rows = [(i, k, len(y) - 1, float(k), float(v)) for i, y in curves.items() for k, v in enumerate(y)]
+    grid = spark.createDataFrame(rows, "lake_id long, k long, k_last long, g double, y double")
+    got = smoothers.wavelet(grid, name, level, threshold).toPandas()
+    assert len(got) == len(rows) and not got.duplicated(["lake_id", "k"]).any()
+    taps = len(kernels.WAVELET_TAPS[name])
+    for i, y in curves.items():
+        have = got[got.lake_id == i].sort_values("k").curve.to_numpy()
+        as_is = level is not None and 2 * len(y) < taps - 1
+        assert np.allclose(have, y if as_is else kernels.wavelet_denoise(y, name, level, threshold)), (i, len(y))

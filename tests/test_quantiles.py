@@ -3,7 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from stillwater.functions import ranks
 from stillwater.functions.quantiles import grouped_medians, grouped_quantiles
+from stillwater.operators import metrics
 
 
 def frame(seed=0):
@@ -59,3 +61,25 @@ def test_whole_groups_missing_keys_and_repeated_ranks(spark):
     assert set(got) == {1, None, 3, 9} and got[9].a is None and got[9].n == 1
     want = np.quantile(pdf.x[pdf.lake_id == 2], [0.9, 0.5, 0.9])
     assert np.allclose([got[None].a, got[None].b, got[None].c], want) and got[3].b == 5.0
+
+
+def test_running_total_over_ranges(spark):
+    rows = [(None if i % 5 == 0 else i % 3, float((i * 7919) % 1009), i % 4) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, v double, w int").groupBy("k", "v").agg(F.sum("w").alias("w"))
+    got = ranks.running_total(df, ["k"], ["v"], "w").toPandas().fillna({"k": -1}).sort_values(["k", "v"])
+    assert len(got) == df.count()
+    assert (got.before == got.groupby("k").w.cumsum() - got.w).all()
+    alone = ranks.running_total(df.select("v").distinct(), [], ["v"]).toPandas().sort_values("v")
+    assert list(alone.before) == list(range(len(alone)))
+    assert ranks.running_total(df.filter("v < 0"), ["k"], ["v"]).count() == 0
+
+
+def test_spearman_with_ties_and_a_long_series(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"lake_id": np.where(rng.random(6000) < 0.7, 1, rng.integers(2, 9, 6000)), "a": rng.integers(0, 300, 6000) / 7.0})
+    pdf["b"] = np.where(rng.random(6000) < 0.4, 5.0, pdf.a + rng.normal(0, 9, 6000))
+    pdf.loc[::50, "b"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("b", F.nanvl("b", F.lit(None).cast("double")))
+    got = metrics.spearman(df, "a", "b").toPandas().set_index("lake_id").spearman
+    for lake, part in pdf.dropna().groupby("lake_id"):
+        assert abs(got[lake] - part.a.rank().corr(part.b.rank())) < 1e-9

@@ -32,6 +32,14 @@ def test_parse_responses(spark):
     assert (r.lake_id, r.time, r.xovr_cal_q, r.crid, r.wse_std, r.p_lat) == (7, 1.5, 1, "PIC2", None, None)
 
 
+def test_long_response_is_cut_into_blocks(spark):
+    lines = [",".join(str(i) if c == "lake_id" else LINE[c] for c in REQUIRED) for i in range(1003)]
+    bodies = spark.createDataFrame([(json.dumps({"results": {"csv": "\n".join([",".join(REQUIRED), *lines[:n]])}}),) for n in (1003, 10, 11, 0)], "body string")
+    for block in (10, 2000):
+        got = S.parse_responses(bodies, block=block)
+        assert sorted(r.lake_id for r in got.collect()) == sorted([*range(1003), *range(10), *range(11)])
+
+
 def test_csv_cache_and_missing_column(spark, tmp_path):
     (tmp_path / "a.csv").write_text(csv_text(REQUIRED))
     r = S.read_observations(spark, str(tmp_path / "a.csv"), "csv").first()
