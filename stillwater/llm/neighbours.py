@@ -2,7 +2,7 @@
 
 Equal vectors become one node with a count. Nodes go to overlapping shards, those of the
 ``OVERLAP`` nearest of the centroids of a sample. Every shard builds a graph by batched
-insertion: a greedy search from the medoid finds candidates, robust pruning keeps those
+insertion: a greedy search from the medoid and the nearest of the batch give candidates, robust pruning keeps those
 that no kept one covers, and reverse edges are pruned alike. Adjacency lists of a node
 are united over its shards. Then every node is searched in all its shards: greedily from
 the medoid to its surroundings, and on from every node in range over the united lists
@@ -17,14 +17,19 @@ of ``PART`` members, which are shared out over the tasks.
 
 ``audit`` measures recall on the vectors whose id is divisible by 20 against all rows.
 
-Defined cases: vectors that are null, zero, empty, hold null or non-finite components or
-have another length than most link with nothing and are their own component; repeated
-rows are vectors of their own; rows without an id count as vectors for others, a group
-of such rows alone has no component id; an empty table gives no rows.
+Vectors of different lengths have no cosine and never link. A length with more nodes than
+a shard is searched by itself; of the others each is one shard, and all go in one pass.
+
+Defined cases: vectors that are null, zero, empty or hold null or non-finite components
+link with nothing and are their own component; repeated rows are vectors of their own;
+rows without an id count as vectors for others, a group of such rows alone has no
+component id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,7 +44,7 @@ SHARD_ROWS = 1500
 SHARDS = 1024
 BALL_SAMPLE = 64  # points of the sample that make a ball
 PART = 4096
-DEGREE, BEAM, ALPHA = 16, 24, 1.2
+DEGREE, BEAM, ALPHA, MATES = 16, 24, 1.2, 4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -126,6 +131,11 @@ def build(x: np.ndarray, seed: int = 1) -> tuple[np.ndarray, int]:
     while done < m:
         batch = order[done:done + max(1, min(done // 4, 256))]
         cand = np.tile(order[:done], (len(batch), 1)) if done <= BEAM else search(x, nbr, medoid, x[batch])
+        if len(batch) > 1:  # nodes that are put in together would not find each other
+            alike = x[batch] @ x[batch].T
+            np.fill_diagonal(alike, -np.inf)
+            mates = np.argsort(-alike, axis=1, kind="stable")[:, :min(MATES, len(batch) - 1)]
+            cand = np.concatenate([cand, batch[mates]], axis=1)
         nbr[batch] = prune(x, batch, cand)
         # Reverse edges: the old list of every target with up to DEGREE new ones, pruned again.
         source, target = np.repeat(batch, DEGREE), nbr[batch].ravel()
@@ -193,13 +203,26 @@ def nodes(vectors: DataFrame) -> DataFrame:
         "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf')) "
         "and exists(embedding, x -> x <> 0)")
     out = good.groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("id"))
-    out = written(out.withColumn("node", F.xxhash64("embedding")))
-    usual = out.groupBy(F.size("embedding").alias("d")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d").first()
-    return out.where(F.size("embedding") == (usual["d"] if usual else 0))
+    return written(out.withColumn("node", F.xxhash64("embedding")))
 
 
 def links(found: DataFrame, link: float = LINK, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
     """(node, others): rows of other nodes linked; (a, b): edges that connect all linked nodes."""
+    length = F.size("embedding")
+    sizes = found.groupBy(length.alias("d")).agg(F.count("*").alias("m")).orderBy(F.desc("m"), "d")
+    large = [r["d"] for r in sizes.where(F.col("m") > SHARD_ROWS).collect()] or [r["d"] for r in sizes.take(1)]
+    got = [_links_of_length(found.where(length == d), link, sample) for d in large]
+    rest = found.where(~length.isin(large)) if large else found
+    if not got or sizes.count() > len(large):
+        searched = _searched(rest.select("node", "n", "embedding", F.array(length).alias("shards"), length.alias("shard")), link)
+        got.append((searched.groupBy("node").agg(F.sum("others").alias("others")),
+                    searched.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    counts, edges = zip(*got)
+    return reduce(DataFrame.unionByName, counts), reduce(DataFrame.unionByName, edges)
+
+
+def _links_of_length(found: DataFrame, link: float, sample: int) -> tuple[DataFrame, DataFrame]:
+    """``links`` of vectors of one length."""
     n = found.count()
     part = F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1_000_000))
     drawn = found.where(part < int(1_000_000 * min(1.0, sample / max(n, 1)))).orderBy("node").select("embedding").toPandas()
@@ -225,41 +248,7 @@ def links(found: DataFrame, link: float = LINK, sample: int = SAMPLE) -> tuple[D
     kind = found.schema["embedding"].dataType.simpleString()
     fields = f"node long, n long, embedding {kind}, shards array<int>, ball int, shell array<int>"
     placed = written(found.select("node", "n", "embedding").mapInArrow(place, fields))
-    apart = placed.where("ball < 0").select("node", "n", "embedding", "shards", F.explode("shards").alias("shard"))
-
-    def grow(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("node")
-        ids = g["node"].to_numpy()
-        nbr, _ = build(unit(_matrix(g["embedding"])).astype(np.float32))
-        return pd.DataFrame({"node": ids, "nbr": [ids[v[v >= 0]] for v in nbr]})
-
-    lists = apart.groupBy("shard").applyInPandas(grow, "node long, nbr array<long>").groupBy("node").agg(
-        F.array_distinct(F.flatten(F.collect_list("nbr"))).alias("nbr"))
-
-    def look(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("node")
-        ids, exact = g["node"].to_numpy(), unit(_matrix(g["embedding"]))
-        x, n, mine = exact.astype(np.float32), g["n"].to_numpy(), key[0]
-        nbr = []
-        for v in g["nbr"]:
-            at = np.searchsorted(ids, v)
-            at = np.minimum(at, len(ids) - 1)
-            nbr.append(at[ids[at] == v])
-        shards = np.sort(np.array(g["shards"].tolist()), axis=1)
-        medoid = int(np.argmax(x @ x.mean(axis=0)))
-        others, a_all, b_all = np.zeros(len(ids), np.int64), [], []
-        for a, b in in_range(x, nbr, medoid, exact, link):
-            shared = (shards[a][:, :, None] == shards[b][:, None, :]).any(axis=2)
-            first = shards[a][np.arange(len(a)), shared.argmax(axis=1)] == mine
-            np.add.at(others, a[first], n[b[first]])
-            forest = _root(len(ids), a, b)
-            a_all.append(np.flatnonzero(forest != np.arange(len(ids))))
-            b_all.append(forest[a_all[-1]])
-        a, b = (np.concatenate([np.zeros(0, int), *v]) for v in (a_all, b_all))
-        root = _root(len(ids), a, b)
-        return pd.DataFrame({"node": ids, "others": others, "root": ids[root]})
-
-    searched = written(apart.join(lists, "node").groupBy("shard").applyInPandas(look, "node long, others long, root long"))
+    searched = _searched(placed.where("ball < 0").select("node", "n", "embedding", "shards", F.explode("shards").alias("shard")), link)
     counts = searched.select("node", "others")
     edges = searched.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not len(heads):
@@ -304,6 +293,44 @@ def links(found: DataFrame, link: float = LINK, sample: int = SAMPLE) -> tuple[D
     return counts.groupBy("node").agg(F.sum("others").alias("others")), edges
 
 
+def _searched(apart: DataFrame, link: float) -> DataFrame:
+    """node, others, root of every shard: graphs grown, united and searched."""
+
+    def grow(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("node")
+        ids = g["node"].to_numpy()
+        nbr, _ = build(unit(_matrix(g["embedding"])).astype(np.float32))
+        return pd.DataFrame({"node": ids, "nbr": [ids[v[v >= 0]] for v in nbr]})
+
+    lists = apart.groupBy("shard").applyInPandas(grow, "node long, nbr array<long>").groupBy("node").agg(
+        F.array_distinct(F.flatten(F.collect_list("nbr"))).alias("nbr"))
+
+    def look(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("node")
+        ids, exact = g["node"].to_numpy(), unit(_matrix(g["embedding"]))
+        x, n, mine = exact.astype(np.float32), g["n"].to_numpy(), key[0]
+        nbr = []
+        for v in g["nbr"]:
+            at = np.searchsorted(ids, v)
+            at = np.minimum(at, len(ids) - 1)
+            nbr.append(at[ids[at] == v])
+        shards = np.sort(np.array(g["shards"].tolist()), axis=1)
+        medoid = int(np.argmax(x @ x.mean(axis=0)))
+        others, a_all, b_all = np.zeros(len(ids), np.int64), [], []
+        for a, b in in_range(x, nbr, medoid, exact, link):
+            shared = (shards[a][:, :, None] == shards[b][:, None, :]).any(axis=2)
+            first = shards[a][np.arange(len(a)), shared.argmax(axis=1)] == mine
+            np.add.at(others, a[first], n[b[first]])
+            forest = _root(len(ids), a, b)
+            a_all.append(np.flatnonzero(forest != np.arange(len(ids))))
+            b_all.append(forest[a_all[-1]])
+        a, b = (np.concatenate([np.zeros(0, int), *v]) for v in (a_all, b_all))
+        root = _root(len(ids), a, b)
+        return pd.DataFrame({"node": ids, "others": others, "root": ids[root]})
+
+    return written(apart.join(lists, "node").groupBy("shard").applyInPandas(look, "node long, others long, root long"))
+
+
 def near_duplicates(vectors: DataFrame, link: float = LINK, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     found = nodes(vectors)
@@ -325,8 +352,8 @@ def audit(vectors: DataFrame, result: DataFrame, link: float = LINK, every: int
     found = nodes(vectors)
     query = written(vectors.where(F.col("vec_id") % every == 0).join(found.select("embedding", "node"), "embedding").select(
         "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, found.count() // 20_000))).alias("block")))
-    blocks = query.select("block").distinct()
-    rows = found.join(F.broadcast(blocks)).select("block", "n", "embedding", F.lit(None).cast("long").alias("vec_id"))
+    blocks = query.select("block", F.size("embedding").alias("length")).distinct()
+    rows = found.join(F.broadcast(blocks), F.size("embedding") == F.col("length")).select("block", "n", "embedding", F.lit(None).cast("long").alias("vec_id"))
 
     def block(g: pd.DataFrame) -> pd.DataFrame:
         q, r = g[g["vec_id"].notna()], g[g["vec_id"].isna()]
@@ -335,6 +362,6 @@ def audit(vectors: DataFrame, result: DataFrame, link: float = LINK, every: int
         return pd.DataFrame({"vec_id": q["vec_id"].astype("int64"), "links": np.concatenate([np.zeros(0), *hits]).astype(np.int64) - 1})
 
     both = rows.union(query.select("block", F.lit(0).cast("long"), "embedding", "vec_id"))
-    true = both.groupBy("block").applyInPandas(block, "vec_id long, links long")
+    true = both.groupBy("block", F.size("embedding")).applyInPandas(block, "vec_id long, links long")
     return true.join(result.select("vec_id", "n_links"), "vec_id").agg(
         F.sum(F.least("n_links", "links")).alias("found"), F.sum("links").alias("links"))

@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+import numpy as np
 from pyspark.sql import types as T
 
 from stillwater.llm import (decontamination, html_text, mixing, neighbours, quality, repeats, secrets, sharding, simhash,
@@ -155,6 +156,19 @@ def test_neighbours(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_neighbours_of_several_lengths(spark):
+    rng = np.random.default_rng(2)
+    made = [(d, rng.standard_normal((m, d))) for d, m in ((3, 40), (8, 30), (2, 12), (5, 1))]
+    rows = [v.tolist() for _, x in made for v in np.concatenate([x, x[:7] * 2, x[:5] + 0.01])]
+    got = neighbours.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"))
+    unit = [np.array(v) / np.linalg.norm(v) for v in rows]
+    linked = [[len(a) == len(b) and a @ b >= neighbours.LINK for b in unit] for a in unit]
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == {i: sum(v) - 1 for i, v in enumerate(linked)}
+    alone = neighbours.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), *[(i, [1.0, float(i), 0.0]) for i in range(3, 6)]],
+                                                             "vec_id long, embedding array<double>"))
+    assert {r["vec_id"]: r["n_links"] for r in alone.collect() if r["vec_id"] < 3} == {1: 1, 2: 1}
+
+
 def test_stages_take_clashing_columns_and_return_those_of_documents(spark, docs, tmp_path):
     spark.createDataFrame([(1, 1), (5, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
