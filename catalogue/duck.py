@@ -346,6 +346,28 @@ _wavelet_tables()
 CTE["wav"] = "select grid.lake_id, grid.k, g, a as curve from grid join wr0 r on r.lake_id = grid.lake_id and r.k = grid.k"
 
 
+def _kalman_tables(steps: int = 10) -> None:
+    """Local level by plain recursions: a filter forward, a smoother backward, an EM step, folded over the list of a lake."""
+    CTE["kp0"] = "select lake_id, list(y order by k) as y, 1e0 as q, 1e0 as r, arg_min(y, k) as m0, 1e0 as p0 from grid group by 1"
+    for i in range(steps + 1):
+        mean, var = "a.m + (a.v + q) / (a.v + q + r) * (x.y - a.m)", "r * (a.v + q) / (a.v + q + r)"
+        CTE[f"kf{i}"] = f"""select *, list_reduce(list_prepend({{'y': 0e0, 'm': m0, 'v': p0 - q, 't': []::struct(m double, v double)[]}},
+ list_transform(y, lambda w: {{'y': w, 'm': 0e0, 'v': 0e0, 't': []::struct(m double, v double)[]}})),
+ lambda a, x: {{'y': x.y, 'm': {mean}, 'v': {var}, 't': list_append(a.t, {{'m': {mean}, 'v': {var}}})}}).t as f from kp{i}"""
+        last = i == steps  # only then the whole curve is kept
+        back = "(x.m + x.v / (x.v + q) * (a.s - x.m))"
+        rest = "(x.v + (x.v / (x.v + q)) ** 2 * (a.z - x.v - q))"
+        CTE[f"kb{i}"] = f"""select *, list_reduce(list_transform(list_reverse(list_zip(f, y)), lambda w: {{'y': w[2], 'm': w[1].m, 'v': w[1].v, 's': w[1].m, 'z': w[1].v,
+  'e': (w[2] - w[1].m) ** 2 + w[1].v, 'u': 0e0{", 't': [w[1].m]" if last else ""}}}), lambda a, x: {{'y': x.y, 'm': x.m, 'v': x.v, 's': {back}, 'z': {rest},
+  'e': a.e + (x.y - {back}) ** 2 + {rest}, 'u': a.u + (a.s - {back}) ** 2 + a.z + {rest} - 2 * a.z * x.v / (x.v + q)
+  {f", 't': list_append(a.t, {back})" if last else ""}}}) as b from kf{i}"""
+        CTE[f"kp{i + 1}"] = f"""select lake_id, y, case when len(y) > 1 then b.u / (len(y) - 1) else q end as q, b.e / len(y) as r, b.s as m0, b.z as p0 from kb{i}"""
+    CTE["kal"] = f"""select grid.lake_id, grid.k, g, kb{steps}.b.t[len(kb{steps}.y) - grid.k] as curve from grid join kb{steps} on kb{steps}.lake_id = grid.lake_id"""
+
+
+_kalman_tables()
+
+
 def at_times(curve: str, rounded: bool = True) -> str:
     """Linear evaluation of a grid curve at the baseline's times."""
     value = "coalesce((nx.curve - c.curve) * ((b.time - c.g) / 8.64e4) + c.curve, c.curve)"

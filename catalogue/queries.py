@@ -572,8 +572,8 @@ def _curve_query(kind):
     return run
 
 
-for _kind, _twin in (("wavelet", "wav"), ("hampel", "ham"), ("kalman", None)):
-    register(sql(_twin, "bs", body=duck.at_times(_twin)) if _twin else None)(_curve_query(_kind))
+for _kind, _twin in (("wavelet", "wav"), ("hampel", "ham"), ("kalman", "kal")):
+    register(sql(_twin, "bs", body=duck.at_times(_twin)))(_curve_query(_kind))
 
 
 @register(sql("cubic", body=f"select lake_id, index_col, spline_ok, case when spline_ok then {r6('f')} end as smooth from cubic"))

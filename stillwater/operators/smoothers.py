@@ -1,8 +1,9 @@
 """Low-pass curves.
 
 Savitzky-Golay, running median and the smoothing cubic are Column expressions;
-Hampel and Kalman run a small NumPy helper on the series' regular grid (bounded
-by the calendar); LOWESS is in ``lowess``, the wavelet bands in ``wavelets``.
+Hampel runs a small NumPy helper on the series' regular grid (bounded by the
+calendar); LOWESS is in ``lowess``, the wavelet bands in ``wavelets``, the local
+level in ``kalman``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..config import DAY
 from ..session import cut
-from . import grid as G, kernels, lowess as L, wavelets
+from . import grid as G, kalman as kalman_scan, kernels, lowess as L, wavelets
 
 KEY = "lake_id"
 HOUR = 3600.0
@@ -181,7 +182,7 @@ def hampel(grid: DataFrame, window=21, value="y", out="curve"):
 
 def kalman(grid: DataFrame, n_iter=10, value="y", out="curve"):
     """L9."""
-    return _on_grid(grid, lambda y: kernels.local_level_smooth(y, n_iter), value, out)
+    return kalman_scan.smooth(grid, n_iter, value, out)
 
 
 # ----------------------------------------------------------------- LOWESS

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stillwater.config import DAY, LENIENT, STRICT
-from stillwater.operators import asof, grid as G, kernels, lowess, screens, smoothers
+from stillwater.operators import asof, grid as G, kalman, kernels, lowess, screens, smoothers
 
 rng = np.random.default_rng(3)
 
@@ -160,6 +160,17 @@ def test_helpers_invariants():
         assert np.allclose(c, 2 + 0.5 * x[3:60])
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_level_scan_equals_recursion(spark, monkeypatch, block):
+    monkeypatch.setattr(kalman, "BLOCK", block)
+    vals = {1: np.cumsum(rng.normal(size=83)), 2: 5 + rng.normal(size=16), 3: np.array([2.0]), 4: np.array([1.0, 5.0]),
+            5: np.full(30, 3.0), 6: 100 + 0.01 * rng.normal(size=17)}
+    got = smoothers.kalman(grid_frame(spark, vals), 3).toPandas()
+    for i, v in vals.items():
+        c = got[got.lake_id == i].sort_values("k")
+        assert np.allclose(c.y, v) and np.allclose(c.curve, kernels.local_level_smooth(v, 3), rtol=1e-10, atol=1e-10)
+
+
 def test_spline_is_the_least_squares_cubic(spark):
     pdf = series(60)
     df = spark.createDataFrame(pdf)
