@@ -149,9 +149,10 @@ def hermite(x, x0, x1, y0, y1, s0, s1):
     )
 
 
-def pchip_grid(base: DataFrame, step: float = DAY, time="time", value="wse") -> DataFrame:
-    """L2: shape-preserving cubic interpolation on the regular grid."""
-    o = grid_origin(base, step, False, time)
+def pchip_grid(base: DataFrame, step: float = DAY, midnight=False, time="time", value="wse") -> DataFrame:
+    """L2: shape-preserving cubic interpolation on the regular grid. A midnight grid starts before
+    the first observation, where the first cubic goes on (one observation: its value)."""
+    o = grid_origin(base, step, midnight, time)
     b = with_pchip_slopes(base.select(KEY, time, value), time, value).join(o.select(KEY, "t0"), KEY)
     k = F.floor((F.col(time) - F.col("t0")) / F.lit(float(step))).cast("long")
     s = F.struct(F.col(time).alias("t"), F.col(value).alias("v"), F.col("slope").alias("s"))
@@ -159,7 +160,8 @@ def pchip_grid(base: DataFrame, step: float = DAY, time="time", value="wse") ->
     spine = o.select(KEY, "t0", "k_last", F.explode(F.sequence(F.lit(0).cast("long"), "k_last")).alias("k"))
     fwd = W.partitionBy(KEY).orderBy("k").rowsBetween(W.unboundedPreceding, -1)
     bwd = W.partitionBy(KEY).orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, -1)
-    j = spine.join(ends, [KEY, "k"], "left").withColumn("a", F.last("last", ignorenulls=True).over(fwd)).withColumn(
+    # slots past the last grid point (a midnight end) still feed the point before them
+    j = spine.join(ends, [KEY, "k"], "full_outer" if midnight else "left").withColumn("a", F.last("last", ignorenulls=True).over(fwd)).withColumn(
         "b", F.coalesce(F.col("first"), F.last("first", ignorenulls=True).over(bwd))
     )
     g = F.col("t0") + F.col("k") * F.lit(float(step))
@@ -167,6 +169,13 @@ def pchip_grid(base: DataFrame, step: float = DAY, time="time", value="wse") ->
     y = F.when(c["t"] == F.col("g"), c["v"]).otherwise(
         hermite(F.col("g"), a["t"], c["t"], a["v"], c["v"], a["s"], c["s"])
     )
+    if midnight:
+        first = b.groupBy(KEY).agg(F.min(s).alias("p"))
+        second = b.join(first, KEY).filter(F.col(time) > F.col("p.t")).groupBy(KEY).agg(F.min(s).alias("n"))
+        j = j.filter(F.col("t0").isNotNull()).join(first, KEY).join(second, KEY, "left")
+        p, n = F.col("p"), F.col("n")
+        ahead = hermite(F.col("g"), p["t"], n["t"], p["v"], n["v"], p["s"], n["s"])
+        y = F.when(F.col("g") < p["t"], F.coalesce(ahead, p["v"])).otherwise(y)
     return j.withColumn("g", g).withColumn("y", y).select(KEY, "k", "k_last", "g", "y")
 
 

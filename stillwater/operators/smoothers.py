@@ -215,10 +215,10 @@ def lowess(
 def grid_of(base: DataFrame, kind: str, step=DAY, interpolation="linear"):
     """(origin, grid) that the curves of one kind need."""
     midnight = kind == "hampel"
-    if interpolation not in ("linear", "pchip") or midnight and interpolation == "pchip":
-        raise ValueError("interpolation must be linear or pchip (pchip grids start at the first time)")
+    if interpolation not in ("linear", "pchip"):
+        raise ValueError("interpolation must be linear or pchip")
     origin = G.grid_origin(base, step, midnight)
-    return origin, G.regular_grid(base, step, midnight, origin=origin) if interpolation == "linear" else G.pchip_grid(base, step)
+    return origin, G.regular_grid(base, step, midnight, origin=origin) if interpolation == "linear" else G.pchip_grid(base, step, midnight)
 
 
 def curve_on(grid: DataFrame, kind: str, step=DAY, **params) -> DataFrame:

@@ -171,6 +171,20 @@ def test_level_scan_equals_recursion(spark, monkeypatch, block):
         assert np.allclose(c.y, v) and np.allclose(c.curve, kernels.local_level_smooth(v, 3), rtol=1e-10, atol=1e-10)
 
 
+def test_midnight_grid_with_shape_preserving_cubics(spark):
+    times = [0.25, 0.75, 3.5, 4.0, 6.5]
+    rows = [(1, i, x * DAY, x) for i, x in enumerate(times)] + [(2, 9, 0.5 * DAY, 7.0)] + [
+        (3, i, x * DAY, x * x) for i, x in enumerate((0.5, 1.5, 2.5))]
+    df = spark.createDataFrame(rows, "lake_id long, index_col long, time double, wse double")
+    g = G.pchip_grid(df, midnight=True).toPandas().sort_values(["lake_id", "k"])
+    assert np.allclose(g[g.lake_id == 1].y, range(7)) and g[g.lake_id == 2].y.tolist() == [7.0]
+    # slopes by hand: end 1, inner 8 / 3 of secants 2 and 4; u = -1/2 for the point ahead, 1/2 for the others
+    ahead = 0.25 * 0 * 1.5**2 + 1 * -0.5 * 1.5**2 + 2.25 * 0.25 * 4 + 8 / 3 * 0.25 * -1.5
+    assert np.isclose(g[(g.lake_id == 3) & (g.k == 0)].y.iloc[0], ahead)
+    s = smoothers.sweep(df.filter("lake_id = 1"), df.filter("lake_id = 1"), "hampel", [{"window": 3}], interpolation="pchip").toPandas()
+    assert np.allclose(s.bottom, s.wse)
+
+
 def test_spline_is_the_least_squares_cubic(spark):
     pdf = series(60)
     df = spark.createDataFrame(pdf)
