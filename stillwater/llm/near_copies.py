@@ -1,12 +1,13 @@
 """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-No Hamming radius of a fingerprint covers a similarity for certain, so pairs are found by
-their shingles. Two sets with similarity t share a member among the first n - ceil(t n) + 1
+SimHash fingerprints within 2 bits, found by the vantage-point tree of ``simhash``, are the first
+candidates; an exact comparison follows. No Hamming radius covers a similarity for certain, so what
+they leave is found by the shingles themselves. Two sets with similarity t share a member among the first n - ceil(t n) + 1
 of either, in any order that all sets use, and what follows the first shared one must be
 long enough in both. The order is by frequency in a sample of documents and then by hash, so
 that a common line is hardly ever what two texts meet by. Equal sets are one row.
 
-Texts that meet at a shingle are first compared with the next one in size and with the next
+Texts that meet at a shingle are, with those candidates, first compared with the next one in size and with the next
 one in an order of that shingle's own. Only pairs whose ends those links leave in different
 groups are listed in full. Pairs pass a bound on the difference of the sets (counts of their
 hashes in 256 cells) and then an exact comparison of the shingles themselves.
@@ -75,18 +76,18 @@ def frequent(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> tuple
 
 
 def marks(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], *keep: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The kept columns, key ``fp``, size, cells and first shingles of the set of every row."""
+    """The kept columns, key ``fp``, size, cells and first shingles of the set of every row, and its SimHash."""
     def one(text):
         h = hashes(text, words)
         if not len(h):
-            return 0, 0, bytes(CELLS), h
+            return 0, 0, bytes(CELLS), h, 0
         often = np.zeros(len(h), np.int64)
         if len(common[0]):
             at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
             often = np.where(common[0][at] == h, common[1][at], 0)
         first = h[np.argsort(often, kind="stable")][:len(h) * (100 - percent) // 100 + 1]
         cells = np.minimum(np.bincount((h >> np.uint64(56)).astype(int), minlength=CELLS), 255).astype(np.uint8)
-        return xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), cells.tobytes(), first
+        return xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), cells.tobytes(), first, simhash.fingerprint(text)
 
     def made(batches):
         for b in batches:
@@ -94,12 +95,12 @@ def marks(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], *keep: str, wo
             yield pa.RecordBatch.from_arrays(
                 [*[b[c] for c in keep], pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64)),
                  pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary()),
-                 pa.array([g[3].view(np.int64) for g in got], pa.list_(pa.int64()))],
-                [*keep, "fp", "n", "cells", "first"])
+                 pa.array([g[3].view(np.int64) for g in got], pa.list_(pa.int64())), pa.array([g[4] for g in got], pa.int64())],
+                [*keep, "fp", "n", "cells", "first", "sim"])
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return docs.select("text", *[c for c in keep if c != "text"]).mapInArrow(
-        made, ", ".join([*fields, "fp long, n long, cells binary, first array<long>"]))
+        made, ", ".join([*fields, "fp long, n long, cells binary, first array<long>, sim long"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -137,11 +138,21 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int = WO
     return found
 
 
+def hashed_alike(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose SimHash fingerprints the vantage-point tree links, equal ones included."""
+    named = written(sets.groupBy("sim").agg(F.min("fp").alias("least")))
+    same = sets.join(named, "sim").where("fp != least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    end = lambda s: named.select(F.col("sim").alias(s), F.col("least").alias(f"k{s}"))
+    near = simhash.links(named.select(F.col("sim").alias("fp"))).join(end("a"), "a").join(end("b"), "b")
+    return written(same.union(near.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))))
+
+
 def links(docs: DataFrame, marked: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of keys that connect all pairs of similar sets; the table ``marked`` is used up."""
     wide = written(marked.where("n > 0").groupBy("fp").agg(
-        F.min(F.struct("doc_id", "th__")).alias("row"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("first").alias("first")))
+        F.min(F.struct("doc_id", "th__")).alias("row"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("first").alias("first"), F.first("sim").alias("sim")))
     discard(marked)
+    alike = hashed_alike(wide.select("fp", "sim"))
     met = wide.select("fp", "n", F.posexplode("first").alias("at", "h"))
     run = W.partitionBy("h").orderBy("n", "fp")
     met = met.select("h", "fp", "n", (F.col("n") - F.col("at")).alias("rest"), F.lag(F.struct("fp", "n")).over(run).alias("p"), F.lead("fp").over(run).alias("next"))
@@ -150,10 +161,10 @@ def links(docs: DataFrame, marked: DataFrame, words: int = WORDS, percent: int =
     met = met.where("p is not null or next is not null").withColumn("q", F.lag(F.struct("fp", "n")).over(mixed))
     met = written(met.select("h", "fp", "n", "rest", F.array_compact(F.array(
         F.when(near_size("p.n"), F.col("p.fp")), F.when(near_size("q.n"), F.col("q.fp")))).alias("beside")))
-    sets = written(wide.drop("first").join(met.select("fp").distinct(), "fp", "left_semi"))
+    sets = written(wide.drop("first", "sim").join(met.select("fp").distinct(), "fp", "left_semi"))
     discard(wide)
     beside = met.select("fp", F.explode("beside").alias("other")).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
-    near = verified(beside, sets, docs, words, percent)
+    near = verified(alike.union(beside), sets, docs, words, percent)
     parts = components(near)
     met = met.join(parts, F.col("fp") == F.col("node"), "left").select("h", "fp", "n", "rest", F.coalesce("component", "fp").alias("part"))
     spread = met.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("h")

@@ -2,7 +2,7 @@
 
 import random
 
-from stillwater.llm import stages
+from stillwater.llm import near_copies, stages
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,16 @@ def test_common_passage_and_null_ids(spark):
     got = stages.dedupe(spark, docs, SF).collect()
     assert len(got) == len(set(root)) and sum(r["doc_id"] is None for r in got) == sum(rows[i][0] is None for i in set(root))
     assert stages.dedupe(spark, docs.limit(0), SF).count() == 0
+
+
+def test_first_candidates_are_the_simhash_groups(spark):
+    """The stage's first candidates connect what the fingerprints within 2 bits connect."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(80).collect()]
+    texts += [" ".join([*t.split(), "tail"]) for t in texts if len(t.split()) > 400] + [t.upper() for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = near_copies.marks(docs, near_copies.frequent(docs), "doc_id").toPandas()
+    pairs = near_copies.hashed_alike(spark.createDataFrame(marked.drop_duplicates("fp")[["fp", "sim"]])).collect()
+    ids = {r.fp: r.doc_id for r in marked.itertuples()}
+    edges = [(ids[p.a], ids[p.b]) for p in pairs] + [(r.doc_id, ids[r.fp]) for r in marked.itertuples()]
+    assert len(ids) < len(texts) and pairs
+    assert brute.groups(len(texts), edges) == brute.simhash_groups(texts)[1]
