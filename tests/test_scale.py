@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
-from stillwater.functions.quantiles import grouped_quantiles
+from stillwater.functions.quantiles import grouped_quantiles, percentiles
 from stillwater.operators import prep
-from stillwater.session import cut, partition_for
+from stillwater.operators.daily import daily_series
+from stillwater.session import configure, cut, partition_for
 from stillwater.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,42 @@ def test_partitions_follow_the_input(spark, tmp_path):
     assert spark.conf.get(key) == "9"
     partition_for(spark, f"{SF}/supplier.parquet")
     assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
+
+
+def test_percentiles_sort_plain_values(spark):
+    """``F.percentile`` took a map of objects per group, most of the time of the daily metrics."""
+    v = F.when(F.col("id") % 7 > 0, F.col("id") * 31 % 997 / 8)
+    df = spark.range(5000).select((F.col("id") % 6).alias("k"), F.when(F.col("id") % 6 > 0, v).alias("v"))
+    probs = [0.0, 0.1, 0.5, 0.6827, 1.0]
+    got = df.groupBy("k").agg(percentiles("v", probs).alias("got"), F.percentile("v", probs).alias("want"))
+    for r in got.collect():
+        assert r.got == (r.want or [None] * 5)
+    assert "percentile(" not in plan(grouped_quantiles(df, ["k"], "v", [0.5], ["m"]))
+
+
+def test_the_calendar_is_written_behind_the_windows(spark):
+    """Every day of the calendar was joined and ordered twice, from one task that wrote it out."""
+    obs = spark.sql("""select * from values (1L, timestamp_ntz'2024-01-02 06:00:00', 10d, null), (1L, timestamp_ntz'2024-01-02 18:00:00', 12d, 3d),
+      (1L, timestamp_ntz'2024-01-06 06:00:00', 19d, 5d), (1L, timestamp_ntz'2024-05-01 06:00:00', 1d, 7d), (2L, timestamp_ntz'2024-01-01 00:00:00', 1d, 1d)
+      as t(lake_id, datetime, wse, other)""")
+    gauge = spark.sql("""select * from values (1L, timestamp_ntz'2024-01-01 12:00:00', 1d), (1L, timestamp_ntz'2024-01-05 12:00:00', 5d),
+      (1L, timestamp_ntz'2024-01-07 12:00:00', 9d), (1L, timestamp_ntz'2024-04-30 12:00:00', 2d) as t(lake_id, gauge_datetime, gauge_wse)""")
+    d = daily_series(obs, gauge, {"a": "wse", "b": "other"})
+    nodes = [line for line in plan(d).splitlines() if "Generate" in line or "Window" in line]
+    assert "Generate" in nodes[0] and "Generate" not in "".join(nodes[1:])
+    got = [(str(r.date), r.a, r.b, r.daily_gauge) for r in d.where("lake_id = 1").orderBy("date").collect()]
+    # readings outside the overlap do not fill it, and days strictly inside the gauge's gap are left out
+    assert got == [
+        ("2024-01-02", 11.0, 3.0, 5.0), ("2024-01-03", 13.0, 3.5, 5.0), ("2024-01-04", 15.0, 4.0, 5.0), ("2024-01-05", 17.0, 4.5, 5.0),
+        ("2024-01-06", 19.0, 5.0, 7.0), ("2024-01-07", 19 + (1 - 19) * (1 / 116), 5 + 2 * (1 / 116), 9.0),
+        ("2024-04-30", 19 + (1 - 19) * (115 / 116), 5 + 2 * (115 / 116), 2.0)]
+    assert d.where("lake_id = 2").count() == 0
+
+
+def test_settings_of_the_series_queries_end_with_them(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    configure(spark, series=True)
+    assert spark.conf.get(name) == "8000" and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    configure(spark)
+    assert spark.conf.get(name) == before
