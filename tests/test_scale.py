@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from stillwater.functions.quantiles import grouped_quantiles, percentiles
-from stillwater.operators import prep
+from stillwater.operators import grid as G, prep
 from stillwater.operators.daily import daily_series
 from stillwater.session import configure, cut, partition_for
 from stillwater.sources import tables
@@ -79,6 +79,23 @@ def test_settings_of_the_series_queries_end_with_them(spark):
     name = "spark.sql.codegen.hugeMethodLimit"
     before = spark.conf.get(name)
     configure(spark, series=True)
-    assert spark.conf.get(name) == "8000" and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    assert spark.conf.get(name) == "8000" and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
     configure(spark)
     assert spark.conf.get(name) == before
+
+
+def test_empty_slots_are_written_behind_the_windows(spark):
+    """Every slot of the grid was joined and ordered twice, from one task that wrote the grid out."""
+    day = 86400.0
+    rows = [(1, t * day, v) for t, v in ((0.5, 1.0), (0.75, 2.0), (4.25, 9.0), (5.0, 3.0))] + [(2, 3 * day, 5.0)]
+    base = spark.createDataFrame(rows, "lake_id long, time double, wse double")
+    for grid in (G.regular_grid(base), G.regular_grid(base, midnight=True)):
+        nodes = [line for line in plan(grid).splitlines() if "Generate" in line or "Window" in line]
+        assert "Generate" in nodes[0] and "Generate" not in "".join(nodes[1:])
+    got = [(r.k, r.g / day, round(r.y, 9), r.before and r.before.t / day, r.after and r.after.t / day)
+           for r in G.regular_grid(base).where("lake_id = 1").orderBy("k").collect()]
+    line = lambda g: round(2 + 7 * (g - 0.75) / 3.5, 9)
+    assert got == [(0, 0.5, 1.0, None, 4.25), (1, 1.5, line(1.5), 0.75, 4.25), (2, 2.5, line(2.5), 0.75, 4.25),
+                   (3, 3.5, line(3.5), 0.75, 5.0), (4, 4.5, 7.0, 4.25, None)]
+    mid = [(r.k, r.g / day, round(r.y, 9)) for r in G.regular_grid(base, midnight=True).orderBy("lake_id", "k").collect()]
+    assert mid == [(0, 0.0, 1.0), *[(k, float(k), line(k)) for k in (1, 2, 3, 4)], (5, 5.0, 3.0), (0, 3.0, 5.0)]
