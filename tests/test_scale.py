@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from stillwater.functions.quantiles import grouped_quantiles, percentiles
-from stillwater.operators import grid as G, prep
+from stillwater.operators import grid as G, prep, wavelets
 from stillwater.operators.daily import daily_series
 from stillwater.session import configure, cut, partition_for
 from stillwater.sources import tables
@@ -99,3 +99,11 @@ def test_empty_slots_are_written_behind_the_windows(spark):
                    (3, 3.5, line(3.5), 0.75, 5.0), (4, 4.5, 7.0, 4.25, None)]
     mid = [(r.k, r.g / day, round(r.y, 9)) for r in G.regular_grid(base, midnight=True).orderBy("lake_id", "k").collect()]
     assert mid == [(0, 0.0, 1.0), *[(k, float(k), line(k)) for k in (1, 2, 3, 4)], (5, 5.0, 3.0), (0, 3.0, 5.0)]
+
+
+def test_bands_of_a_small_grid_are_not_left_in_one_task(spark):
+    """The grid's partitions were merged by their size, and all bands unpacked in one task of 1,289 MB."""
+    grid = spark.range(3000).selectExpr("id % 60 as lake_id", "id div 60 as k", "49L as k_last", "cast(id as double) as g", "sin(id) as y")
+    got = wavelets.denoise(grid, level=1, threshold=0.1)
+    got.collect()
+    assert got.rdd.getNumPartitions() >= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
