@@ -8,10 +8,18 @@ from stillwater.llm import decontamination, mixing, near_copies, quality, shardi
 from stillwater.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a batch of texts on its way to Python. A task holds one in the JVM's buffers, in its worker and in the lists
+#: and sets made of it, all of it outside the heap; at Spark's 64 MB that outweighs the texts' own share of an executor.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def select(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    small_batches(spark)
     rows = docs.select(*COLUMNS)
     model = quality.fit(rows, table(spark, sf_dir, "labels"))
     return quality.score(rows, model, *COLUMNS[1:]).where(quality.kept()).select(*COLUMNS)
@@ -19,6 +27,7 @@ def select(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return near_copies.representatives(docs.select(*COLUMNS))
 
 

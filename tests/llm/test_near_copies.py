@@ -64,3 +64,18 @@ def test_first_candidates_are_the_simhash_groups(spark):
     edges = [(ids[p.a], ids[p.b]) for p in pairs] + [(r.doc_id, ids[r.fp]) for r in marked.itertuples()]
     assert len(ids) < len(texts) and pairs
     assert brute.groups(len(texts), edges) == brute.simhash_groups(texts)[1]
+
+
+def test_stages_send_texts_in_small_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    docs = spark.createDataFrame([(i, "", "en", "s", 1) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars int")
+    long = spark.range(0, 200, 1, 1).selectExpr("repeat('word and more ', 10000) as text")
+    for stage in (stages.select, stages.dedupe):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs, SF)
+        assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) < 6e6
