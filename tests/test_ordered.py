@@ -227,6 +227,24 @@ def test_lowess_blocks_equal_whole_series(spark, monkeypatch, block):
         assert np.allclose(np.abs(mine.residual), np.abs(r).min(axis=0))
 
 
+def test_lowess_of_long_series_in_blocks_of_the_rest_in_one_call(spark, monkeypatch):
+    pdf = pd.concat([series(90, lakes=(1, 2)), series(40, lakes=(3,))]).assign(is_base=True, is_eval=True)
+    pdf.loc[pdf.index % 5 == 0, "is_base"] = False
+    pdf.loc[pdf.index % 7 == 0, "is_eval"] = False
+    df = spark.createDataFrame(pdf)
+    one = smoothers.lowess(df, iterations=(0, 1, 3))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "FlatMapCoGroupsInPandas" not in plan
+    want = one.toPandas().sort_values(["lake_id", "index_col"])
+    for rows, block in ((50, 16), (50, 1024), (1, 16)):
+        monkeypatch.setattr(lowess, "GATHERED_ROWS", rows)
+        monkeypatch.setattr(lowess, "BLOCK", block)
+        got = smoothers.lowess(df, iterations=(0, 1, 3)).toPandas().sort_values(["lake_id", "index_col"])
+        assert np.array_equal(got.index_col, want.index_col)
+        for c in ("bottom", "top", "residual"):
+            assert np.allclose(got[c], want[c], equal_nan=True)
+
+
 def test_lowess_of_very_short_series(spark):
     df = spark.createDataFrame([(1, i, 86400.0 * i, 1.0, i < 2, True) for i in range(4)],
                                "lake_id long, index_col long, time double, wse double, is_base boolean, is_eval boolean")
