@@ -1,8 +1,12 @@
+import numpy as np
 from pyspark.sql import functions as F
 
+from stillwater.config import ValidationConfig
+from stillwater.functions import groups
 from stillwater.functions.quantiles import grouped_quantiles, percentiles
-from stillwater.operators import grid as G, prep, wavelets
+from stillwater.operators import asof, grid as G, metrics as M, prep, screens, wavelets
 from stillwater.operators.daily import daily_series
+from stillwater.plans import summaries as X, validation as V
 from stillwater.session import configure, cut, partition_for
 from stillwater.sources import tables
 
@@ -107,3 +111,45 @@ def test_bands_of_a_small_grid_are_not_left_in_one_task(spark):
     got = wavelets.denoise(grid, level=1, threshold=0.1)
     got.collect()
     assert got.rdd.getNumPartitions() >= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def both_forms(monkeypatch, make):
+    """Rows of the gathered form and of the one for series that no task may order."""
+    out = []
+    for limit in (groups.GATHERED_ROWS, 0):
+        monkeypatch.setattr(groups, "GATHERED_ROWS", limit)
+        out.append((plan(df := make()), sorted(map(str, df.collect()))))
+    return out
+
+
+def test_series_are_numbered_behind_one_shuffle(spark, monkeypatch):
+    """Days were counted, summed and joined back, three shuffles of nearly all rows."""
+    raw = cut(tables.observations(spark, SF).withColumn("lake_id", F.when(F.col("lake_id") != 3, F.col("lake_id"))))
+    (one, got), (many, want) = both_forms(monkeypatch, lambda: prep.prepare(raw, tables.ARRIVAL).select(
+        "lake_id", "index_col", "is_first", "time", "wse", "wse_u", "day", *[c for c in raw.columns if c.startswith("ice")]))
+    assert got == want and len(got) > 4000
+    assert "Join" not in one and "Join" in many
+
+
+def test_nearest_reading_in_one_pass(spark, monkeypatch):
+    """Slots were ordered twice and carried over a spine that was joined back."""
+    left = spark.range(400).selectExpr("if(id % 40 = 7, null, id % 5) as lake_id", "id as i", "if(id % 50 = 9, null, cast(id * 7919 % 3001 as double)) as time")
+    right = spark.range(90).selectExpr("id % 4 as lake_id", "cast(id * 31 % 97 * 30 as double) as gauge_time", "cast(id as double) as gauge_wse")
+    near = lambda tol: asof.nearest(left, right, "lake_id", "time", "gauge_time", ["gauge_wse"], tol, 500.0)
+    for tol in (20.0, float("inf")):
+        (one, got), (many, want) = both_forms(monkeypatch, lambda: near(tol))
+        monkeypatch.undo()
+        assert got == want and "Join" not in one and "Join" in many
+
+
+def test_rounds_of_the_fallback_run_on_sorted_values(spark, monkeypatch):
+    """Every round wrote two tables and shuffled the values three times."""
+    rng = np.random.default_rng(8)
+    rows = [(i, float(v)) for i in range(12) for v in np.concatenate([rng.normal(0, 1, 30 + i), rng.normal(0, 60 * i, 2 * i), [400.0] * (i % 2)])]
+    df = spark.createDataFrame(rows + [(77, 1.0), (78, None)], "lake_id long, wse double")
+    run = lambda: sorted(map(str, screens.screen_interval(df, multiplier=1.0, lower_q=0.25, upper_q=0.75, iterations=4).collect()))
+    writes = []
+    monkeypatch.setattr(screens, "cut", lambda d: writes.append(1) or cut(d))
+    got, n = run(), len(writes)
+    monkeypatch.setattr("stillwater.functions.quantiles.SKETCH_ACCURACY", 100)
+    assert got == run() and n == 1 and len(got) == 13
