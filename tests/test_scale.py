@@ -153,3 +153,15 @@ def test_rounds_of_the_fallback_run_on_sorted_values(spark, monkeypatch):
     got, n = run(), len(writes)
     monkeypatch.setattr("stillwater.functions.quantiles.SKETCH_ACCURACY", 100)
     assert got == run() and n == 1 and len(got) == 13
+
+
+def test_only_matched_rows_are_spread_over_the_methods(spark):
+    """All rows were spread, eight times by ice state, though few have a reading."""
+    df = spark.sql("""select *, wse wse_adjusted, wse wse_stringent, wse wse_permissive, 1d p_ref_area from values
+      (1L, 1L, 3d, 1d, 0), (1L, 2L, 5d, null, 2), (2L, 1L, 4d, null, 0) as t(lake_id, index_col, wse, gauge_corrected, ice_clim_f)""")
+    df, cfg = cut(df), ValidationConfig()
+    errors, by_ice = V.method_errors(df, cfg), X.error_by_ice(df, cfg)
+    assert {(r.lake_id, r.n_match) for r in errors.collect()} == {(1, 1), (2, 0)} and errors.count() == 8
+    assert sorted(r.n_match for r in by_ice.collect()) == [0] * 16 + [1] * 8
+    for p in (plan(errors), plan(by_ice)):
+        assert "isnotnull(gauge_corrected" in p[p.rindex("explode"):] or "isnotnull(gauge_corrected" in p[p.index("Generate explode(array(struct"):]
