@@ -155,6 +155,13 @@ def test_rounds_of_the_fallback_run_on_sorted_values(spark, monkeypatch):
     assert got == run() and n == 1 and len(got) == 13
 
 
+def test_ranks_of_series_that_one_task_may_order(spark, monkeypatch):
+    """Both orders were dealt by ranges, written and joined back to the pairs."""
+    df = spark.range(900).selectExpr("id % 4 as lake_id", "cast(id * 31 % 83 as double) as a", "if(id % 11 = 0, null, cast(id * 7 % 19 as double)) as b")
+    (one, got), (many, want) = both_forms(monkeypatch, lambda: M.spearman(df, "a", "b").select("lake_id", F.round("spearman", 9)))
+    assert got == want and "Join" not in one and "Join" in many
+
+
 def test_only_matched_rows_are_spread_over_the_methods(spark):
     """All rows were spread, eight times by ice state, though few have a reading."""
     df = spark.sql("""select *, wse wse_adjusted, wse wse_stringent, wse wse_permissive, 1d p_ref_area from values
