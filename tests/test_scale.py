@@ -172,3 +172,11 @@ def test_only_matched_rows_are_spread_over_the_methods(spark):
     assert sorted(r.n_match for r in by_ice.collect()) == [0] * 16 + [1] * 8
     for p in (plan(errors), plan(by_ice)):
         assert "isnotnull(gauge_corrected" in p[p.rindex("explode"):] or "isnotnull(gauge_corrected" in p[p.index("Generate explode(array(struct"):]
+
+
+def test_the_calendar_carries_no_structs(spark):
+    """Each of its days carried ten structs, and dates were counted on by an interval."""
+    obs = spark.sql("select 1L lake_id, timestamp_ntz'2024-01-02 06:00:00' + make_dt_interval(cast(id as int)) datetime, cast(id as double) wse from range(5)")
+    gauge = spark.sql("select 1L lake_id, timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(cast(id * 3 as int)) gauge_datetime, 2d gauge_wse from range(4)")
+    d = daily_series(obs, gauge, {"a": "wse"})
+    assert "struct" not in plan(d) and "interval" not in plan(d).lower().split("generate")[0] and d.count() == 5
