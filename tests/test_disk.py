@@ -77,3 +77,19 @@ def test_local_levels_side_by_side(monkeypatch):
         monkeypatch.setattr(kernels, "CELLS", cells)
         for got, y in zip(kernels.local_level_lines(lines, 10), lines):
             assert np.allclose(got, kernels.local_level_smooth(y, 10), rtol=1e-10, atol=1e-10)
+
+
+def test_sweep_writes_no_grid_and_joins_once(spark, monkeypatch):
+    """The grid was written with four structs a slot, and each of six curves was shuffled to meet the rows."""
+    written = []
+    monkeypatch.setattr(smoothers, "cut", lambda df: written.append(df.columns) or df)
+    base = observations(spark)
+    got = smoothers.sweep(base, base, "savgol")
+    assert not written and got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4
+    many = got.select("lake_id", "index_col", *[F.get("curves", F.lit(i)).alias(f"c{i}") for i in range(6)])
+    for i, p in enumerate(smoothers.DEFAULT_SWEEPS["savgol"]):
+        origin, curve = smoothers.grid_curve(base, "savgol", **p)
+        one = G.at_times(base, curve, origin, out=f"c{i}")
+        assert shown(many, f"c{i}") == shown(one, f"c{i}")
+    waves = smoothers.sweep(base, base, "hampel")
+    assert written == [["lake_id", "k", "k_last", "g", "y"]] and waves.filter("size(curves) = 3").count() == 160
