@@ -3,10 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from stillwater.config import DAY
+from stillwater.config import DAY, FilterConfig
 from stillwater.functions import groups
-from stillwater.operators import grid as G, kernels, smoothers
-from stillwater.session import configure
+from stillwater.operators import grid as G, kernels, prep, smoothers, thresholds as T
+from stillwater.plans import filtering
+from stillwater.session import configure, cut
 
 rng = np.random.default_rng(11)
 
@@ -93,3 +94,47 @@ def test_sweep_writes_no_grid_and_joins_once(spark, monkeypatch):
         assert shown(many, f"c{i}") == shown(one, f"c{i}")
     waves = smoothers.sweep(base, base, "hampel")
     assert written == [["lake_id", "k", "k_last", "g", "y"]] and waves.filter("size(curves) = 3").count() == 160
+
+
+def raw(spark):
+    """Two lakes over four years, one of them with offset passes, and one of a few days."""
+    return spark.sql("""select *, cast(if(month(timestamp_seconds(time + 946684800)) in (12, 1, 2), 2, 0) as int) ice_clim_f from (
+      select id % 2 lake_id, cast(id div 2 * 5 as double) * 86400 + id % 7 time, 100 + sin(id / 20d) + if(id % 2 = 1, id div 2 % 3 * 4, 0) + if(id % 97 = 5, 30, 0) wse,
+       if(id % 31 = 3, 0.45d, 0.1d + id % 5 / 50d) wse_u, id % 9 / 10d wse_std, 20000d + id % 11 * 3000 xtrk_dist, cast(if(id % 31 = 3, 3, 0) as int) quality_f, cast(id % 2 as int) xovr_cal_q,
+       cast(id div 2 * 5 div 21 as int) cycle_id, cast(id div 2 % 3 as int) pass_id, if(id < 300, 'PIC2', 'PID0') crid, 10 + id % 13 / 2d area_total, 5d p_ref_area,
+       1d p_lat, 2d p_lon, 'D' collection_shortname from range(600)
+      union all select 7, cast(id as double) * 86400, 1d, 0.1d, 0.1d, 20000d, 0, 0, 1, 1, 'PIC2', 10d, 5d, 1d, 2d, 'D' from range(6))""")
+
+
+def written(monkeypatch, *modules):
+    """Columns of what the modules write."""
+    got = []
+    for m in modules:
+        monkeypatch.setattr(m, "cut", lambda df: got.append(df.columns) or cut(df))
+    return got
+
+
+def test_gates_of_both_attempts_join_once(spark):
+    """Every row was dealt twice to meet the same thresholds."""
+    obs = cut(prep.distinct_times(prep.prepare(raw(spark), [])))
+    thr, cfg = cut(T.calibrate(obs)), FilterConfig()
+    both = filtering.flagged_rows(obs, thr, cfg)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    one = T.with_thresholds(obs, thr, cfg.strict.bounds, flag="ok_strict", trace=False)
+    one = T.with_thresholds(one, thr, cfg.lenient.bounds, flag="ok_lenient", trace=False)
+    assert [c for c in both.columns if c in one.columns] == one.columns
+    pick = lambda df: sorted(map(str, df.select("lake_id", "index_col", "ok_strict", "ok_lenient").collect()))
+    assert pick(both) == pick(one) and len(set(x.split("ok_")[1] for x in pick(both))) > 1
+
+
+def test_a_step_leaves_no_residuals_behind(spark, monkeypatch):
+    """They were written with every column of the rows and kept to the end."""
+    obs = cut(prep.distinct_times(prep.prepare(raw(spark), [])))
+    rows = filtering.flagged_rows(obs, cut(T.calibrate(obs)), FilterConfig()).filter("ok_strict").select(*filtering._ROW)
+    rows = rows.withColumns({"attempt": F.lit(1), "round": F.lit(1), "minfrac_frozen": F.lit(False), "is_base": F.col("clean")})
+    columns, gone = written(monkeypatch, filtering), []
+    monkeypatch.setattr(filtering, "discard", lambda *t: gone.extend(x.columns for x in t))
+    left = filtering.filter_step(cut(rows), FilterConfig())
+    residuals = [c for c in columns if "residual" in c]
+    assert len(residuals) == 1 and "ok_lenient" not in residuals[0] and gone == residuals
+    assert 0 < left.count() < 600
