@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from catalogue import queries as Q, workflow_queries
 from stillwater.config import DAY, FilterConfig
 from stillwater.functions import groups
 from stillwater.operators import grid as G, kernels, prep, smoothers, thresholds as T
@@ -138,3 +139,18 @@ def test_a_step_leaves_no_residuals_behind(spark, monkeypatch):
     residuals = [c for c in columns if "residual" in c]
     assert len(residuals) == 1 and "ok_lenient" not in residuals[0] and gone == residuals
     assert 0 < left.count() < 600
+
+
+def test_workflow_deletes_what_it_has_read(spark, monkeypatch):
+    """All prepared columns went through every join of the labels, and no table was deleted before the end."""
+    t = Q.Tables(spark, "none")
+    t._memo["p"] = prep.prepare(raw(spark), [])
+    want = filtering.run_filter(cut(t.p))["observations"]
+    columns, gone = written(monkeypatch, workflow_queries, filtering), []
+    for m in (workflow_queries, filtering):
+        monkeypatch.setattr(m, "discard", lambda *tables: gone.extend(sorted(x.columns) for x in tables))
+    rows = workflow_queries._labelled(t)
+    assert "p_lat" not in {c for some in columns for c in some} and "datetime" not in columns[-1]
+    assert sorted(workflow_queries._READ) in gone and ["index_col", "lake_id", "wse", "wse_adjusted"] in gone and len(gone) == 8 and all(c in gone for c in map(sorted, columns[:1]))
+    pick = lambda df: sorted(map(str, df.select(*rows.columns).collect()))
+    assert pick(rows) == pick(want) and {r[0] for r in rows.select("filter_attempt").distinct().collect()} >= {"1_strict"}
